@@ -93,8 +93,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     found = F.array(*[F.struct(F.lit(label).alias("label"), places(p).alias("at")) for p, label in phrases.items()])
     rows = rows.withColumn("_base", F.filter(found, lambda x: F.size(x["at"]) > 0))
 
-    def reach(block: Column, k: str) -> Column:
-        """Containment of template k in a block's distinct words, or 0 if a filter excludes it."""
+    def reach(k: str):
+        """A function of a block's distinct words: the containment of template k, or 0 if a filter excludes it."""
+        return lambda block: contained(block, k)
+
+    def contained(block: Column, k: str) -> Column:
         ts, t = rarest[k], len(rarest[k])
         shared = F.array_intersect(_literals(prefix[k]), block)
         first = F.array_position(_literals(ts), F.element_at(shared, 1))
@@ -107,7 +110,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         blocks = F.transform(F.split("_t", "\n"), lambda b: F.array_distinct(word_array(b)))
         blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, _literals(prefixes)))
         per = [
-            F.struct(F.lit(k).alias("label"), F.coalesce(F.array_max(F.transform(F.col("_b"), lambda b, k=k: reach(b, k))), F.lit(0.0)).alias("share"))
+            F.struct(F.lit(k).alias("label"), F.coalesce(F.array_max(F.transform(F.col("_b"), reach(k))), F.lit(0.0)).alias("share"))
             for k in sorted(templates)
         ]
         near = F.arrays_overlap(F.col("_w"), _literals(prefixes))

@@ -73,12 +73,14 @@ def jaccard_bound(partition: int, containment: float) -> float:
     approach t / (2 - t).
     """
     low, high = 1 << partition, (2 << partition) - 1
+    if low > 64:
+        return containment / (2 - containment)
     least = 1.0
-    for y in range(low, min(high, low + 64) + 1):
+    for y in range(low, high + 1):
         o = math.ceil(containment * y - 1e-9)
         for x in range(o, y + 1):
             least = min(least, o / (x + y - o))
-    return least if high - low <= 64 else min(least, containment / (2 - containment))
+    return least
 
 
 def tune(similarity: float, count: int = PERMUTATIONS, miss: float = 1e-3) -> tuple[int, int]:

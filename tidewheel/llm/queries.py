@@ -67,7 +67,7 @@ def queries() -> dict:
 #: DuckDB: words of a text as a list, A-Z folded.
 _WORDS = (
     r"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
-    r" '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+    r" '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 )
 
 _OP2 = f"""
@@ -92,7 +92,7 @@ _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
 h AS (SELECT page_id, p.html, first, sha1(encode(p.html)) AS hex FROM p JOIN f USING (html)),
-b AS (SELECT *, list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT *, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   CAST(((('0x' || substr(hex, 1 + CAST(floor(k * 5 / 4) AS BIGINT), 2) || '')::INT >> (CASE WHEN floor(k * 5 / 4) = 39 THEN 0 ELSE CAST(8 - 5 - (k * 5) % 4 AS INT) END)) & 31) AS INT) + 1, 1)),
   'string_agg', '') AS digest FROM (SELECT page_id, html, first, hex || '0' AS hex FROM h))
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
@@ -110,9 +110,9 @@ def _op9() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
 p(ws, label) AS (VALUES {phrases}),
 t(label, ts) AS (VALUES {templates}),
-at AS (SELECT doc_id, label, s - 1 AS s FROM (SELECT doc_id, w, ws, label, unnest(range(1, len(w) - len(ws) + 2)) AS s
+places AS (SELECT doc_id, label, s - 1 AS s FROM (SELECT doc_id, w, ws, label, unnest(range(1, len(w) - len(ws) + 2)) AS s
   FROM d, p WHERE list_has_all(w, ws)) WHERE w[s:s + len(ws) - 1] = ws),
-b AS (SELECT doc_id, count(*) AS n_base, min(s) AS lo, max(s) AS hi, list(DISTINCT label) AS labels FROM at GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_base, min(s) AS lo, max(s) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 blocks AS (SELECT doc_id, list_distinct({_WORDS.format(t="line")}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
 share AS (SELECT doc_id, label, max(CASE WHEN len(list_intersect(w, ts)) >= ceil(0.8 * len(ts) - 1e-9) THEN len(list_intersect(w, ts)) / len(ts) ELSE 0 END) AS share
   FROM blocks, t GROUP BY doc_id, label),
