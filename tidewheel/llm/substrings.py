@@ -140,7 +140,7 @@ def union(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def repeats(docs: DataFrame, size: int = 200, kept: bool = False) -> DataFrame:
-    """For each distinct text with repeated bytes: text_key, uses, n_removed, n_spans, kept_sha256, and kept if asked for.
+    """For each distinct text with repeated bytes: text_key, uses, n_removed, n_spans, kept_sha256, and kept if asked for (the text without them; characters that were cut in part go).
 
     A text that occurs twice as a whole is removed whole. Distinct texts send
     their anchors' hashes; those that occur once end there. Around the others
@@ -226,12 +226,12 @@ def repeats(docs: DataFrame, size: int = 200, kept: bool = False) -> DataFrame:
                     at = e
                 left = b"".join([*parts, raw[at:]])
                 if runs:
-                    rows.append((key, uses, len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if kept else None))
+                    rows.append((key, uses, len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if kept else None))
             cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    schema = "text_key binary, uses long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "text_key binary, uses long, n_removed long, n_spans long, kept_sha256 string, kept string"
     done = distinct.join(covered, "text_key", "left").select("text_key", "text", "uses", "spans").mapInArrow(strip, schema)
     return common.materialize(done, "repeats")
 
