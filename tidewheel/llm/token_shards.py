@@ -140,13 +140,15 @@ def write_shards(
     per_part = staged.groupBy("part").count()
     base = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     per_part = per_part.select("part", F.coalesce(base, F.lit(0)).alias("base"))
+    if per_part.count() <= 1_000_000:  # a row a task, 16 bytes each; beyond that the join shuffles
+        per_part = F.broadcast(per_part)
     n = staged.count()
     _open(out)[0].create_dir(_open(out)[1], recursive=True)
     _commit(f"{out}/manifest.json", json.dumps({"sequences": n, "length": length, "shard_sequences": shard_sequences, "dtype": "<u2", "pad_id": end_id, "key": key}).encode())
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Join the sequences of a batch that go to one shard, and compress them together."""
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             d = batch.to_pydict()
             slots = feistel(np.array(d["index"], np.int64), n, key)
