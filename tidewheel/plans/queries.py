@@ -15,12 +15,13 @@ from ..streaming.online import windowed
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_DAILY = "daily AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS time, sum(o_totalprice) AS v FROM orders GROUP BY 1)"
+#: Amounts are divided by a prime, so that no result lies on a rounding tie.
+_DAILY = "daily AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS time, sum(o_totalprice) / 7919.0 AS v FROM orders GROUP BY 1)"
 _SEG = (
-    "seg AS (SELECT c_mktsegment AS k, date_trunc('day', o_orderdate)::TIMESTAMP AS time, sum(o_totalprice) AS v, count(*)::DOUBLE AS n, avg(o_totalprice) / 7919.0 AS a"
+    "seg AS (SELECT c_mktsegment AS k, date_trunc('day', o_orderdate)::TIMESTAMP AS time, sum(o_totalprice) / 7919.0 AS v, count(*)::DOUBLE AS n, avg(o_totalprice) / 7919.0 AS a"
     " FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 )
-_EV = "ev AS (SELECT event_type AS k, ts::TIMESTAMP AS time, event_id AS id, value AS v FROM events)"
+_EV = "ev AS (SELECT event_type AS k, ts::TIMESTAMP AS time, event_id AS id, value / 7.919 AS v FROM events)"
 _W = "(PARTITION BY k ORDER BY time)"
 
 
@@ -44,7 +45,7 @@ def _day(c: str):
 
 def daily(spark, d) -> Series:
     """Revenue by day."""
-    df = _table(spark, d, "orders").groupBy(_day("o_orderdate").alias("time")).agg(F.sum("o_totalprice").alias("v"))
+    df = _table(spark, d, "orders").groupBy(_day("o_orderdate").alias("time")).agg((F.sum("o_totalprice") / 7919.0).alias("v"))
     return Series(df, "v")
 
 
@@ -52,13 +53,13 @@ def segments(spark, d, col: str = "v") -> Series:
     """Revenue, orders and mean price by market segment and day."""
     o, c = _table(spark, d, "orders"), _table(spark, d, "customer")
     df = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("k"), _day("o_orderdate").alias("time"))
-    df = df.agg(F.sum("o_totalprice").alias("v"), F.count("*").cast("double").alias("n"), (F.avg("o_totalprice") / 7919.0).alias("a"))
+    df = df.agg((F.sum("o_totalprice") / 7919.0).alias("v"), F.count("*").cast("double").alias("n"), (F.avg("o_totalprice") / 7919.0).alias("a"))
     return Series(df, col, keys=("k",))
 
 
 def events(spark, d) -> Series:
     """Values by event type, unevenly spaced."""
-    df = _table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("ts").cast("timestamp_ntz").alias("time"), F.col("event_id").alias("id"), F.col("value").alias("v"))
+    df = _table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("ts").cast("timestamp_ntz").alias("time"), F.col("event_id").alias("id"), (F.col("value") / 7.919).alias("v"))
     return Series(df, "v", keys=("k",))
 
 
@@ -68,7 +69,7 @@ def out(s: Series, digits: int = 4, name: str = "v") -> DataFrame:
     if kind == "array<double>":
         v = F.concat_ws(",", F.transform(v, lambda x: F.coalesce(F.round(x, digits).cast("decimal(38,4)").cast("string"), F.lit("null"))))
     elif kind == "double":
-        v = F.round(v, digits)
+        v = F.round(v, digits) + 0.0  # no negative zero
     return s.df.select(*s.index, v.alias(name))
 
 
@@ -222,7 +223,7 @@ _KINDS = {
 for _kind, (_cls, _expr) in _KINDS.items():
     for _closed, _range in _RANGES.items():
 
-        @query(f"rolling_{_kind}_{_closed}", f"SELECT k, time, round(coalesce({_expr}, 0), 4) AS v FROM (SELECT k, time, a AS v FROM seg) WINDOW w AS (PARTITION BY k ORDER BY time RANGE BETWEEN {_range})")
+        @query(f"rolling_{_kind}_{_closed}", f"SELECT k, time, round(coalesce({_expr}, 0), 4) + 0.0 AS v FROM (SELECT k, time, a AS v FROM seg) WINDOW w AS (PARTITION BY k ORDER BY time RANGE BETWEEN {_range})")
         def _(spark, d, cls=_cls, closed=_closed):
             return out(cls(7, "d", closed=closed).transform(segments(spark, d, "a")))
 
