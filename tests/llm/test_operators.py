@@ -289,6 +289,20 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("vec_id > 999 and vec_id < 1005")).count() == 5
 
 
+def test_embeddings_keep_the_links_of_a_dense_group_at_depth(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4500, 64))
+    x[:1500] = rng.standard_normal(64) + 0.2 * x[:1500]  # a third, with pairwise cosines of about 0.96
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    y = embeddings.unit(x)
+    links = (y @ y.T) >= 0.95
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, leaf_rows=4).collect()}  # 9 levels, as of 130,000 rows
+    n = np.array([got[i]["n_links"] for i in range(4500)])
+    assert (n <= links.sum(1)).all() and n.sum() >= 0.9 * links.sum()
+    assert {got[i]["component_id"] for i in range(1500)} == {0}
+
+
 def test_near_duplicates(spark, docs, nothing):
     got = minhash.classes(docs).collect()
     rows = docs.collect()

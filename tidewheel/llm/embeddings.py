@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,80 +15,121 @@ from . import common
 SAMPLE = 40_000
 
 
+#: Quantiles of the absolute value of a standard normal variable.
+FOLDED = np.array([NormalDist().inv_cdf(0.5 + (k + 0.5) / 64) for k in range(32)])
+
+
 class Forest:
-    """Trees of random splits at a sample's median; points within ``spill`` of a split go to both sides."""
+    """Trees of random splits at a sample's median; points within ``spill`` of a split go to both sides.
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int = 5) -> None:
+    A pair with a cosine of ``threshold`` differs along a random direction by
+    a normal variable of known width. A node stays a leaf where a split would
+    part more than ``part`` of such pairs, or leave less than ``together`` of
+    them in one leaf of the tree: groups that are dense at that distance are
+    not cut, at any depth.
+    """
+
+    def __init__(
+        self, sample: np.ndarray, trees: int, depth: int, spill: float, threshold: float, seed: int = 5, part: float = 0.25, together: float = 0.5
+    ) -> None:
         rng = np.random.default_rng(seed)
         self.trees, self.depth, dim = trees, depth, sample.shape[1]
         inner = (1 << depth) - 1
+        self.nodes = 2 * inner + 1
         self.direction = rng.standard_normal((trees, max(1, inner), dim)).astype(np.float32)
         self.direction /= np.linalg.norm(self.direction, axis=2, keepdims=True)
         self.low = np.zeros((trees, max(1, inner)), np.float32)
         self.high = np.zeros((trees, max(1, inner)), np.float32)
+        self.split = np.zeros((trees, self.nodes), bool)
+        apart = np.sqrt(max(0.0, 2 - 2 * threshold) / dim) * FOLDED
         for t in range(trees):
-            members = {0: np.arange(len(sample))}
+            members, kept = {0: np.arange(len(sample))}, {0: 1.0}
             for node in range(inner):
-                own = members.pop(node, np.zeros(0, np.int64))
+                own, share = members.pop(node, None), kept.pop(node, 1.0)
+                if own is None or len(own) < 4:
+                    continue
                 x = sample[own] @ self.direction[t, node]
-                cut = np.quantile(x, [0.5 - spill, 0.5, 0.5 + spill]) if len(x) >= 4 else np.array([-0.02, 0.0, 0.02]) + (np.median(x) if len(x) else 0.0)
+                cut = np.quantile(x, [0.5 - spill, 0.5, 0.5 + spill])
+                ordered = np.sort(x)
+                lost = np.searchsorted(ordered, cut[0], "right") - np.searchsorted(ordered, cut[2] - apart, "right")
+                lost = np.where(apart > cut[2] - cut[0], lost, 0).clip(0).mean() / len(x)
+                if lost > part or share * (1 - lost) < together:
+                    continue
+                self.split[t, node] = True
                 self.low[t, node], self.high[t, node] = cut[0], cut[2]
                 members[2 * node + 1], members[2 * node + 2] = own[x <= cut[1]], own[x > cut[1]]
+                kept[2 * node + 1] = kept[2 * node + 2] = share * (1 - lost)
+        self.earlier = self._earlier(sample, inner)
+
+    def _earlier(self, sample: np.ndarray, inner: int) -> np.ndarray:
+        """For each leaf that is an uncut node, the leaf of an earlier tree that shares most of its sample, else -1."""
+        out = np.full(self.trees * self.nodes, -1, np.int64)
+        rows, leaf = self.leaves(sample)
+        dense = leaf % self.nodes < inner
+        rows, leaf = rows[dense], leaf[dense]
+        of = {k: np.zeros(len(sample), bool) for k in np.unique(leaf).tolist()}
+        for k, own in of.items():
+            own[rows[leaf == k]] = True
+        for k, own in of.items():
+            before = [(int((own & of[e]).sum()), -e) for e in of if e // self.nodes < k // self.nodes]
+            if before and max(before)[0] > 0:
+                out[k] = -max(before)[1]
+        return out
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, leaf numbers counted through all trees and ordered by tree."""
         rows_out, leaf_out = [], []
         for t in range(self.trees):
             rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
+            while len(rows):
+                cut = self.split[t][node]
+                rows_out.append(rows[~cut])
+                leaf_out.append(node[~cut] + t * self.nodes)
+                rows, node = rows[cut], node[cut]
                 value = np.einsum("ij,ij->i", x[rows].astype(np.float32), self.direction[t][node])
                 left, right = value <= self.high[t][node], value > self.low[t][node]
                 rows = np.concatenate([rows[left], rows[right]])
                 node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-            rows_out.append(rows)
-            leaf_out.append(node - ((1 << self.depth) - 1) + t * (1 << self.depth))
         return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
-def first_meeting(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether pairs (i, j) share no leaf before this one: each pair counts in one leaf of the forest."""
-    width = max([1, *(len(x) for x in a), *(len(x) for x in b)])
-    left = np.full((len(a), width), -1, np.int32)
-    right = np.full((len(b), width), -2, np.int32)
-    for k, x in enumerate(a):
-        x = x[x < leaf]
-        left[k, : len(x)] = x
-    for k, x in enumerate(b):
-        x = x[x < leaf]
-        right[k, : len(x)] = x
-    out = np.ones(len(i), bool)
-    for s in range(0, len(i), 1 << 15):
-        p, q = left[i[s : s + (1 << 15)]], right[j[s : s + (1 << 15)]]
-        met = np.zeros(len(p), bool)
-        for c in range(width):
-            met |= (p[:, c : c + 1] == q).any(1)
-        out[s : s + (1 << 15)] = ~met
+def met_before(a: list[np.ndarray], b: list[np.ndarray], leaf: int) -> np.ndarray:
+    """Whether each pair of a row of a and one of b shares a leaf before this one: each pair counts in one leaf of the forest."""
+
+    def places(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        who, what = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+        return who[what < leaf], what[what < leaf]
+
+    (i, p), (j, q) = places(a), places(b)
+    both = np.intersect1d(p, q)
+    out = np.zeros((len(a), len(b)), bool)
+    for s in range(0, len(both), 512):
+        some = both[s : s + 512]
+        left, right = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
+        for table, who, what in ((left, i, p), (right, j, q)):
+            at = np.minimum(np.searchsorted(some, what), len(some) - 1)
+            hit = some[at] == what
+            table[who[hit], at[hit]] = 1
+        out |= (left @ right.T) > 0
     return out
 
 
 def spanning(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join what a link matrix joins, one a vertex at most, found by spreading minima."""
-    ids = np.concatenate([left, right])
-    label = ids.copy()
-    n = len(left)
-    i, j = np.nonzero(mask)
-    if not len(i):
+    if not mask.any():
         return []
+    ids, far = np.unique(np.concatenate([left, right])), np.iinfo(np.int64).max
+    at_left, at_right = np.searchsorted(ids, left), np.searchsorted(ids, right)
+    label = ids.copy()
     while True:
-        m = np.minimum(label[i], label[n + j])
         new = label.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, n + j, m)
+        np.minimum.at(new, at_left, np.where(mask, label[at_right][None, :], far).min(1))
+        np.minimum.at(new, at_right, np.where(mask, label[at_left][:, None], far).min(0))
         if (new == label).all():
             break
         label = new
     moved = label != ids
-    return list(dict.fromkeys(zip(label[moved].tolist(), ids[moved].tolist())))
+    return list(zip(label[moved].tolist(), ids[moved].tolist()))
 
 
 def near_duplicates(
@@ -102,8 +144,10 @@ def near_duplicates(
     are null, empty, zero or hold null or non-finite components, and vectors
     of another length than the most frequent one, link with nothing. The
     forest is fitted on a sample of at most 40,000 distinct vectors; its depth
-    follows the number of vectors. Leaves above ``block_rows`` are compared
-    block by block, so that no task holds more than two blocks.
+    follows the number of vectors, but groups that are dense at the
+    threshold's distance are not cut. Leaves above ``block_rows`` are compared
+    block by block, so that no task holds more than two blocks; rows that were
+    together in an uncut group of an earlier tree aren't compared again.
     Null vec_ids are kept and link with nothing; a repeated vec_id with equal
     vectors is one more copy.
     """
@@ -126,7 +170,7 @@ def near_duplicates(
     drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * rate)).orderBy("rep").select("v").limit(SAMPLE).toPandas()
     sample = unit(np.array(drawn["v"].tolist(), float).reshape(-1, sizes["n"]))
     depth = max(0, min(int(np.ceil(np.log2(max(1.0, total / leaf_rows)))), int(np.log2(max(1, len(sample) / 8)))))
-    forest = spark.sparkContext.broadcast(Forest(sample, trees, depth, spill))
+    forest = spark.sparkContext.broadcast(Forest(sample, trees, depth, spill, threshold))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,15 +179,25 @@ def near_duplicates(
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             own = np.split(leaf, np.searchsorted(row, np.arange(1, b.num_rows)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tolist() for x in own], pa.list_(pa.int32()))], ["rep", "v", "copies", "own"])
-
-    placed = common.materialize(classes.select("rep", "v", "copies").mapInArrow(place, "rep long, v array<double>, copies long, own array<int>"), "leaves")
-    in_leaf = placed.select("rep", "v", "copies", "own", F.explode("own").alias("leaf"))
-    load = placed.select(F.explode("own").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("rows"))
-    # At most trees * 2 ** depth leaves, with depth bounded by the sample.
-    blocked = in_leaf.join(F.broadcast(load), "leaf").withColumn("n", F.ceil(F.col("rows") / block_rows).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+            again = [np.isin(forest.value.earlier[x], x).tolist() for x in own]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array([x.tolist() for x in own], pa.list_(pa.int32())), pa.array(again, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "v", "copies", "own", "again"])
+
+    kinds = "rep long, v array<double>, copies long, own array<int>, again array<boolean>"
+    placed = common.materialize(classes.select("rep", "v", "copies").mapInArrow(place, kinds), "leaves")
+    each = F.explode(F.arrays_zip(F.col("own").alias("leaf"), F.col("again").alias("again"))).alias("at")
+    in_leaf = placed.select("rep", "v", "copies", "own", each).select("rep", "v", "copies", "own", "at.leaf", "at.again")
+    load = placed.select(each).groupBy("at.leaf").agg(F.count("*").alias("rows"), F.count_if("at.again").alias("old"))
+    # At most trees * 2 ** (depth + 1) leaves, with depth bounded by the sample.
+    # Blocks 0 to fresh - 1 meet all blocks; the old ones behind them meet only those.
+    small = F.col("rows") <= block_rows
+    load = load.withColumn("fresh", F.when(small, 1).otherwise(F.ceil((F.col("rows") - F.col("old")) / block_rows)).cast("int"))
+    load = load.withColumn("n", F.when(small, 1).otherwise(F.col("fresh") + F.ceil(F.col("old") / block_rows)).cast("int"))
+    blocked = in_leaf.join(F.broadcast(load), "leaf").withColumn("again", F.col("again") & (F.col("rows") > block_rows))
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    blocked = blocked.withColumn("block", F.when(F.col("again"), F.col("fresh") + spread(F.col("n") - F.col("fresh"))).otherwise(spread(F.col("fresh"))))
+    blocked = blocked.withColumn("meets", F.when(F.col("again"), F.col("fresh")).otherwise(F.col("n"))).where("meets > 0")
+    other = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
     pairs = blocked.select("rep", "v", "copies", "own", "leaf", "block", other)
     pairs = pairs.select(
         "rep", "v", "copies", "own", "leaf", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
@@ -159,23 +213,21 @@ def near_duplicates(
         empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
         if not len(a) or not len(b):
             return empty
-        x, y = unit(np.array(a["v"].tolist(), float)), unit(np.array(b["v"].tolist(), float))
-        mask = (x @ y.T) >= threshold
+        open_ = ~met_before(a["own"].tolist(), b["own"].tolist(), leaf)
         if same:
-            mask &= np.triu(np.ones(mask.shape, bool), 1)
-        i, j = np.nonzero(mask)
-        if not len(i):
+            open_ &= np.triu(np.ones(open_.shape, bool), 1)
+        if not open_.any():
+            return empty
+        x, y = unit(np.array(a["v"].tolist(), float)), unit(np.array(b["v"].tolist(), float))
+        mask = ((x @ y.T) >= threshold) & open_
+        if not mask.any():
             return empty
         ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        new = first_meeting(a["own"].tolist(), b["own"].tolist(), i, j, leaf)
-        i, j = i[new], j[new]
         n: dict[int, int] = {}
-        for who, weight, at, to in ((ra, b["copies"].to_numpy(), i, j), (rb, a["copies"].to_numpy(), j, i)):
-            counts = np.bincount(at, weight[to], len(who)).astype(np.int64)
+        for who, weight, links in ((ra, b["copies"].to_numpy(), mask), (rb, a["copies"].to_numpy(), mask.T)):
+            counts = (links @ weight.astype(float)).astype(np.int64)
             for k in np.flatnonzero(counts).tolist():
                 n[int(who[k])] = n.get(int(who[k]), 0) + int(counts[k])
-        mask[:] = False
-        mask[i, j] = True
         edges = spanning(mask, ra, rb)
         return pd.DataFrame(
             [(p, q, 0) for p, q in edges] + [(r, r, w) for r, w in n.items()], columns=["a", "b", "n"]
