@@ -355,6 +355,22 @@ def test_licenses(spark, docs, nothing):
     assert "Python" not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_licenses_in_wrapped_notices(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for i, (label, t) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for width in (72, 80):
+            lines = textwrap.wrap(f"words of another kind stand here {t} and so they do behind it", width)
+            rows.append((10 * i + width % 7, "\n".join(f" * {x}" for x in lines)))
+            want[rows[-1][0]] = label
+    far = licenses.TEMPLATES["bsd-notice"].split()
+    rows.append((900, "\n".join(w + " apple" * 30 for w in far)))  # its words, but nowhere together
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, label in want.items())
+    assert got[900]["labels"] == "" and got[900]["score"] == 0.0
+
+
 def test_lookup_and_components(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id long, key string")
     right = left.where("key is not null").groupBy("key").agg(F.count("*").alias("uses"), F.min("id").alias("first"))

@@ -51,8 +51,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     """Licenses named or quoted in each whole text.
 
     Base labels: places where a phrase's words stand in a row. The method's
-    labels: templates of whose distinct tokens a block (a line of the text)
-    has ``threshold`` or more. Tokens are ordered by global frequency, rarest
+    labels: templates of whose distinct tokens a block has ``threshold`` or
+    more. Blocks are the lines of the text and, so that wrapping doesn't
+    matter, all runs of words of the template's length / ``threshold``,
+    across lines; a text that lacks too many of the tokens as a whole has no
+    such run. Tokens are ordered by global frequency, rarest
     first; a block that shares none of a template's first
     |T| - ceil(t|T|) + 1 tokens can't reach it (prefix filter), nor can one
     of fewer than ceil(t|T|) distinct words (length filter), nor one whose
@@ -62,7 +65,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base label, else the largest containment of a
-    template that passed the filters, else 0). Null text is empty: no words,
+    template that reached ``threshold``, else 0). Null text is empty: no words,
     empty labels, score 0. Null and repeated doc_ids get a row each; other
     columns are ignored.
     """
@@ -72,6 +75,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     need = {k: math.ceil(threshold * len(ts) - 1e-9) for k, ts in rarest.items()}
     prefix = {k: ts[: len(ts) - need[k] + 1] for k, ts in rarest.items()}
     prefixes = sorted({w for p in prefix.values() for w in p})
+    vocabulary = sorted({w for ts in rarest.values() for w in ts})
+    span = {k: math.ceil(len(t.split()) / threshold) for k, t in templates.items()}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.col("text")).alias("_t"))
     rows = rows.select("doc_id", "_t", word_array(F.col("_t")).alias("_w"))
@@ -104,18 +109,31 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         bound = F.lit(t) - first + 1  # the first shared token and all behind it
         overlap = F.size(F.array_intersect(block, _literals(ts)))
         passes = (F.size(block) >= need[k]) & (F.size(shared) > 0) & (bound >= need[k])
-        return F.when(passes, overlap / F.lit(float(t))).otherwise(F.lit(0.0))
+        return F.when(passes & (overlap >= need[k]), overlap / F.lit(float(t))).otherwise(F.lit(0.0))
+
+    def in_runs(k: str) -> Column:
+        """The containment of template k in the best run of words, or 0; a best run begins with one of its tokens."""
+        ts = _literals(rarest[k])
+        starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.array_contains(ts, F.get(F.col("_w"), i)))
+        overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(F.col("_w"), i + 1, span[k]), ts))))
+        has = F.size(F.array_intersect(F.col("_v"), ts)) >= need[k]
+        share = F.when(overlap >= need[k], overlap / F.lit(float(len(rarest[k]))))
+        return F.when(has, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
 
     if templates:
         blocks = F.transform(F.split("_t", "\n"), lambda b: F.array_distinct(word_array(b)))
         blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, _literals(prefixes)))
         per = [
-            F.struct(F.lit(k).alias("label"), F.coalesce(F.array_max(F.transform(F.col("_b"), reach(k))), F.lit(0.0)).alias("share"))
+            F.struct(
+                F.lit(k).alias("label"),
+                F.greatest(F.coalesce(F.array_max(F.transform(F.col("_b"), reach(k))), F.lit(0.0)), in_runs(k)).alias("share"),
+            )
             for k in sorted(templates)
         ]
         near = F.arrays_overlap(F.col("_w"), _literals(prefixes))
         empty = F.array().cast("array<array<string>>")
-        rows = rows.withColumn("_b", F.when(near, blocks).otherwise(empty)).withColumn("_m", F.array(*per))
+        known = F.array_intersect(F.col("_w"), _literals(vocabulary))
+        rows = rows.withColumn("_b", F.when(near, blocks).otherwise(empty)).withColumn("_v", known).withColumn("_m", F.array(*per))
     else:
         rows = rows.withColumn("_m", F.array().cast("array<struct<label:string,share:double>>"))
 
