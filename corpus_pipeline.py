@@ -49,26 +49,26 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with windows of two benchmark items or more, and cut the hit words of one out of the others."""
+    import json
+
     import pyarrow as pa
 
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    find = decontam.searcher(docs, bench)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def run(batches):
-        search = find()
         for b in batches:
             texts, keep = [], []
-            for t in b.column(at).to_pylist():
-                spans, items = search(t)
+            for t, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                spans, items = json.loads(found) if found else ([], [])
                 keep.append(len(items) < 2)
                 texts.append(decontam.cut_spans(t, spans))
-            cols = list(b.columns)
+            cols = list(b.columns[:-1])
             cols[at] = pa.array(texts, cols[at].type)
             cols[chars] = pa.array([None if t is None else len(t) for t in texts], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return decontam.spans(docs, bench).mapInArrow(run, docs.schema)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

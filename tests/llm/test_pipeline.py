@@ -1,8 +1,10 @@
 """The pipeline over a small table: copies, near-copies, shared passages, benchmark passages and junk."""
 
+import functools
 import random
 
 import corpus_pipeline
+from tidewheel.llm import decontam
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -33,3 +35,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert {100} == {100, 101, 102} & set(kept["near_duplicates"])
     assert all(passage not in kept["repeated_substrings"][i] for i in (120, 121, 122))
     assert 110 not in kept["decontaminate"] and item not in kept["decontaminate"][111]
+
+
+def test_decontamination_takes_a_benchmark_of_several_blocks(spark, tmp_path, monkeypatch):
+    items = [" ".join(f"w{k}x{i}" for i in range(10)) for k in range(6)]
+    rows = [(1, f"a {items[0]} b", 1), (2, f"{items[1]} c {items[4]}", 2), (3, "clean", 3), (None, None, None), (5, f"{items[5]}, {items[5]} d", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = sorted(map(repr, corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()))
+    monkeypatch.setattr(decontam, "spans", functools.partial(decontam.spans, limit_bytes=60))
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, got)) == whole
+    assert {r["doc_id"]: r["text"] and " ".join(r["text"].split()) for r in got} == {1: "a b", 3: "clean", None: None, 5: "d"}  # touching spans are one

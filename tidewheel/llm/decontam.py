@@ -97,23 +97,48 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
     return {bytes(r["w"]): r["n"] for r in sums.collect()}
 
 
-def searcher(docs: DataFrame, benchmark: DataFrame, window: int = 8, limit_bytes: int = 32 << 20):
-    """A maker, for use in tasks, of ``search(text) -> (hit spans, items)``; the benchmark must be within ``limit_bytes``.
-
-    Larger benchmarks need :func:`match`, which works in blocks.
-    """
+def blocks_of(docs: DataFrame, benchmark: DataFrame, window: int, threshold: float, limit_bytes: int) -> Iterator[tuple]:
+    """Broadcast indexes of blocks of about ``limit_bytes`` of item text each, and whether it is the last."""
     rows = _items(benchmark)
-    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > limit_bytes:
-        raise ValueError("the benchmark is too large for one index")
-    own = [(r["item"], common.words(r["text"])) for r in rows.collect()]
-    freq = frequencies(docs, frozenset(w for _, ws in own for w in ws))
-    index = docs.sparkSession.sparkContext.broadcast(Index(own, freq, window, 0.8))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // limit_bytes))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    for b in range(blocks):
+        own = [(r["item"], common.words(r["text"])) for r in rows.where(F.col("block") == b).collect()]
+        freq = frequencies(docs, frozenset(w for _, ws in own for w in ws))
+        yield docs.sparkSession.sparkContext.broadcast(Index(own, freq, window, threshold)), b == blocks - 1
 
-    def make():
-        search = index.value.search
-        return lambda text: search(common.words(text))[1:3]
 
-    return make
+def spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, limit_bytes: int = 32 << 20) -> DataFrame:
+    """All columns of the documents and ``_found``: hit spans and items as JSON, null without a hit.
+
+    A benchmark of any size is searched, in blocks as by :func:`match`; the
+    table is written after each block but the last, so that a task holds one
+    index at a time.
+    """
+    import json
+
+    def over(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = index.value.search
+            for batch in batches:
+                at = batch.schema.names.index("text")
+                found = []
+                for text, before in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                    _, own, items, _, _ = search(common.words(text))
+                    if before is not None and own:
+                        own0, items0 = json.loads(before)
+                        own, items = _union(own + own0), sorted({*items, *items0})
+                    found.append(json.dumps([own, items]) if own else before)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], batch.schema.names)
+
+        return run
+
+    out = docs.withColumn("_found", F.lit(None).cast("string"))
+    for index, last in blocks_of(docs, benchmark, window, 0.8, limit_bytes):
+        out = out.mapInArrow(over(index), out.schema)
+        out = out if last else common.materialize(out, "searched")
+    return out
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
