@@ -12,7 +12,11 @@ LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is found; lang stays as it came."""
+    """Keep documents whose language is found; lang stays as it came.
+
+    Without a training row of known language there is no model; then texts
+    without letters are rejected and all others stay.
+    """
     import pyarrow as pa
 
     model = langid.learn(docs)
@@ -21,10 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches):
         scorer = langid.Scorer(shared.value) if shared.value else None
         for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
             if scorer is None:
-                continue
-            pred, share = scorer.predict(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield b.filter(pa.array([p != "und" and s >= LEAST_SHARE for p, s in zip(pred, share)], pa.bool_()))
+                keep = [bool(t) and common.LETTER.search(t) is not None for t in texts]
+            else:
+                keep = [p != "und" and s >= LEAST_SHARE for p, s in zip(*scorer.predict(texts))]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -47,3 +47,9 @@ def test_decontamination_takes_a_benchmark_of_several_blocks(spark, tmp_path, mo
     got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, got)) == whole
     assert {r["doc_id"]: r["text"] and " ".join(r["text"].split()) for r in got} == {1: "a b", 3: "clean", None: None, 5: "d"}  # touching spans are one
+
+
+def test_language_without_a_model_keeps_texts_with_letters(spark):
+    rows = [(1, "clean text", None), (2, "12 34 !!", None), (3, None, None), (4, "", None), (None, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, None}
