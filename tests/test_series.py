@@ -3,11 +3,15 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidewheel.errors import InputNotAvailable, WrongParameter
 from tidewheel.frame import Series
+from tidewheel.functions.windows import row_index
 from tidewheel.operators import features, generation, metrics, models, preprocessing
 from tidewheel.plans.pipeline import Pipeline
+from tidewheel.sources.tables import split_rows
 from tidewheel.streaming.online import Adwin, DriftCondition, PeriodicCondition
 
 DAY = timedelta(days=1)
@@ -145,3 +149,30 @@ def test_pipeline_round_trip(spark, tmp_path):
     assert tables["RMSE"].first()["value"] < 1e-6 and "Fit seconds" in text
     p.to_folder(str(tmp_path))
     assert Pipeline.from_folder(str(tmp_path)).test(x)[2]["RMSE"].first()["value"] < 1e-6
+
+
+def wide(spark, n=5000):
+    hours = F.col("id") * 3600 + F.pmod(F.xxhash64("id"), F.lit(3000))
+    df = spark.range(n, numPartitions=7).select(F.timestamp_seconds(hours).cast("timestamp_ntz").alias("time"), (F.col("id") * 2.5).alias("v"), F.lit("x" * 50).alias("w"))
+    return df.repartition(5)
+
+
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_row_index_counts_every_row_once(spark, parts):
+    df = wide(spark)
+    for some in (df, df.select("time")):
+        got = row_index(some, parts=parts)
+        want = some.withColumn("rn", F.row_number().over(Window.orderBy("time")) - 1)
+        assert got.count() == 5000 and got.exceptAll(want.select(got.columns)).count() == 0
+
+
+def test_row_index_of_numbers_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "time long")
+    assert [r["rn"] for r in row_index(df).orderBy("time").collect()] == [0, 1, 2, 3]
+    assert row_index(df.where("time > 9")).count() == 0
+
+
+def test_split_rows_is_exact(spark):
+    first, rest = split_rows(wide(spark), 1000)
+    assert (first.count(), rest.count()) == (1000, 4000)
+    assert first.agg(F.max("time")).first()[0] < rest.agg(F.min("time")).first()[0]

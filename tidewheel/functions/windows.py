@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..errors import WrongParameter
+from ..errors import InvalidInput, WrongParameter
 
 MICROS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "t": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 7 * 86_400_000_000}
 
@@ -52,13 +52,39 @@ def bucketed(df: DataFrame, size: int, bucket: int | None = None, time: str = "t
     return df.withColumn("_own", at).withColumn("_bucket", F.explode(copies)).withColumn("_halo", F.col("_bucket") != F.col("_own")).drop("_own")
 
 
-def row_index(df: DataFrame, time: str = "time", name: str = "rn") -> DataFrame:
-    """0-based position in time order: range partitions are counted, then numbered from their offsets. No task holds the series."""
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, time).withColumn("_part", F.spark_partition_id())
+def row_index(df: DataFrame, time: str = "time", name: str = "rn", parts: int | None = None) -> DataFrame:
+    """0-based position in time order, nulls first. No task holds the series.
+
+    One job takes quantiles of the time column; as literals they cut it into
+    parts that are the same wherever the plan is evaluated. Parts are counted,
+    and rows numbered within each from its offset. Rows of one time are in one
+    part, and get distinct numbers in an order that isn't defined.
+    """
+    parts = max(2, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[time].dataType.simpleString()
+    place = micros(time) if kind.startswith("timestamp") else F.unix_date(time) if kind == "date" else F.col(time)
+    if kind.startswith(("timestamp", "date")) or kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        found = df.select(place.alias("_t")).agg(F.percentile_approx("_t", [k / parts for k in range(1, parts)], 100 * parts)).first()[0]
+        part = F.when(place.isNull(), 0).otherwise(_rank(place, sorted(set(found or []))))
+    else:
+        raise InvalidInput(f"The time column is of type {kind}.", "Use a time, a date or a number.")
+    ranged = df.withColumn("_part", part)
     counts = ranged.groupBy("_part").count()
     base = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_part", base.alias("_base"))  # a row a partition
+    counts = counts.select("_part", base.alias("_base"))  # a row a part
     local = F.row_number().over(Window.partitionBy("_part").orderBy(time)) - 1
     return ranged.withColumn("_local", local).join(F.broadcast(counts), "_part").withColumn(name, F.col("_base") + F.col("_local")).drop("_part", "_base", "_local")
+
+
+def _rank(place: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the place, by a tree of comparisons."""
+    if not bounds:
+        return F.lit(0)
+
+    def tree(lo: int, hi: int) -> Column:  # the answer lies in lo..hi
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(place < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
