@@ -44,12 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated 200-byte strings from texts; documents of which no word is left go."""
-    found = substrings.repeats(docs, kept=True).select("text_key", "uses", "kept")
-    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    rest = F.when(F.col("uses").isNull(), F.col("text")).otherwise(F.col("kept"))
-    joined = common.lookup(keyed, found, "text_key", "uses")
-    out = joined.withColumn("text", rest).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Remove repeated 200-byte strings from texts; documents of which no word is left go.
+
+    Texts that occur twice as a whole are repeats of each other and go. All
+    columns stay, whatever their names; ``n_chars``, where there is one, is
+    that of the new text.
+    """
+    out = substrings.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]")).select(*docs.columns)
 
 

@@ -77,14 +77,55 @@ def removed(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size", [12, 60])
-def test_repeated_strings(spark, docs, size):
+@pytest.mark.parametrize("size, group", [(12, 2000), (60, 2000), (12, 3), (60, 2)])
+def test_repeated_strings(spark, docs, nothing, size, group, monkeypatch):
     rows = docs.collect()
-    got = substrings.remove_repeats(docs, size).collect()
+    monkeypatch.setattr(substrings, "PART", 5000)  # long texts are cut, parts are many
+    got = substrings.remove_repeats(docs, size, group).collect()
+    assert substrings.remove_repeats(nothing, size).count() == 0
     want = removed([r["text"] for r in rows], size)
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((r["doc_id"], *w)) for r, w in zip(rows, want))
 
 
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_groups_of_an_anchor_held_or_counted(limit):
+    rng = random.Random(3)
+    anchor = bytes(rng.choices(b"xyz", k=10))
+    pieces = []
+    for i in range(60):
+        left, right = (bytes(rng.choices(b"ab", k=rng.randint(0, 14))) for _ in range(2))
+        if len(left) + len(right) >= 10:
+            pieces.append((left + anchor + right, len(left), [{"k": bytes([i]), "s": 100 * i}]))
+    pieces += [(pieces[0][0], pieces[0][1], [{"k": b"copy", "s": 7}]), (pieces[1][0], pieces[1][1], [{"k": b"u", "s": 1}, {"k": b"v", "s": 2}])]
+    spans, windows = [], []
+    g = substrings.Group(20, limit, spans, windows)
+    for p in pieces:
+        g.add(*p)
+    g.close()
+    n = Counter(w[3] for w in windows)
+    got = {}
+    for k, a, b in [*spans, *((k, a, b) for k, a, b, w in windows if k is not None and n[w] > 1)]:
+        got.setdefault(k, set()).update(range(a, b))
+    all_ = Counter(p[i : i + 20] for p, _, who in pieces for i in range(len(p) - 19) for _ in who)
+    want = {}
+    for p, _, who in pieces:
+        for m in who:
+            for i in range(len(p) - 19):
+                if all_[p[i : i + 20]] > 1:
+                    want.setdefault(m["k"], set()).update(range(m["s"] + i, m["s"] + i + 20))
+    assert got == want and (limit == 1000) == (not windows)
+
+
+def test_documents_without_repeats_keep_their_columns(spark):
+    same = "a passage that stands in two texts and has many bytes"
+    rows = [(1, "first words " + same + " é end", "k1", 2), (2, same + " other text", "k2", None), (3, None, "k3", 1), (3, "short", None, 1), (4, "whole copy of one long text here", "x", 1), (5, "whole copy of one long text here", "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, raw string, uses long")
+    got = substrings.without_repeats(df, 30)
+    assert got.columns == df.columns
+    want = [(1, "first words é end", "k1", 2), (2, "other text", "k2", None), (3, None, "k3", 1), (3, "short", None, 1)]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_language(spark, docs, nothing):
     de = [(1000 + i, " ".join(random.Random(i).choice("der die und ist nicht schön straße über".split()) for _ in range(30)), "de") for i in range(40)]
     fr = [(2000 + i, " ".join(random.Random(i).choice("le la les est pas été où garçon".split()) for _ in range(30)), "fr") for i in range(40)]

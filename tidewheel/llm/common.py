@@ -51,6 +51,28 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A written table in buckets of one key: joins on that key don't shuffle it. ``drop`` deletes it."""
+
+    def __init__(self, df: DataFrame, name: str, key: str) -> None:
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.write.format("parquet").option("compression", "zstd").option("path", self.path)
+        rows.bucketBy(buckets, key).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, for texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
