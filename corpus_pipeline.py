@@ -57,27 +57,26 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with windows of two benchmark items or more, and cut the hit words of one out of the others."""
-    import json
+    """Drop documents with windows of two benchmark items or more, and cut the hit words of one out of the others.
 
+    All other rows and columns stay as they are, null texts and ids too;
+    ``n_chars``, where there is one, is that of the new text.
+    """
     import pyarrow as pa
 
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    at, chars = docs.columns.index("text"), docs.columns.index("n_chars")
 
-    def run(batches):
-        for b in batches:
-            texts, keep = [], []
-            for t, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                spans, items = json.loads(found) if found else ([], [])
-                keep.append(len(items) < 2)
-                texts.append(decontam.cut_spans(t, spans))
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(texts, cols[at].type)
-            cols[chars] = pa.array([None if t is None else len(t) for t in texts], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
-
-    return decontam.spans(docs, bench).mapInArrow(run, docs.schema)
+    def finish(batch, found):
+        cols, names = list(batch.columns), batch.schema.names
+        at = names.index("text")
+        texts = [decontam.cut_spans(t, f.spans) for t, f in zip(cols[at].to_pylist(), found)]
+        cols[at] = pa.array(texts, cols[at].type)
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            cols[k] = pa.array([None if t is None else len(t) for t in texts], cols[k].type)
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array([len(f.items) < 2 for f in found], pa.bool_()))
+
+    return decontam.spans(docs, bench, finish, docs.schema)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,6 +187,51 @@ def test_decontamination(spark, docs, nothing, texts):
     assert decontam.match(docs, b.where("item_id < 0")).where("n_items > 0").count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_contained_items_by_brute_force(spark, threshold):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 30))] for _ in range(25)]
+    items[3] = ["a", "b"] * 12  # repeated shingles
+    rows = []
+    for d in range(60):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            own = list(rng.choice(items))
+            if rng.random() < 0.7 and len(own) > 3:
+                own[rng.randrange(len(own))] = "changed"
+            if rng.random() < 0.3:
+                own = own[: len(own) // 2] + ["x"] * 20 + own[len(own) // 2 :]  # apart: no window has it
+            ws += own + [rng.choice(vocabulary)]
+        rows.append((d, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+
+    def shares(ws):
+        out = {}
+        for i, own in enumerate(items):
+            n = min(4, len(own))
+            sets = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+            best = 0
+            for s in range(max(1, len(ws) - len(own) + 1)):
+                part = ws[s : s + len(own)]
+                best = max(best, len(sets & {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}))
+            if best and best >= np.ceil(threshold * len(sets) - 1e-9):
+                out[str(i)] = best / len(sets)
+        return out
+
+    for limit in (32 << 20, 500):
+        got = {r["doc_id"]: r for r in decontam.match(docs, bench, window=4, threshold=threshold, limit_bytes=limit).collect()}
+        found = 0
+        for d, t in rows:
+            want = shares(t.split())
+            found += len(want)
+            assert got[d]["contained"] == sorted(want)
+            best = min(want, key=lambda i: (-want[i], i), default=None)
+            assert got[d]["best_item"] == best and got[d]["best_containment"] == want.get(best, 0.0)
+        assert found > 20
+
+
 def test_cut_spans():
     assert decontam.cut_spans("One, two THREE four.", [[1, 3]]) == "One,  four."
 
