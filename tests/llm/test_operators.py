@@ -161,6 +161,57 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.forward(pieces, logp, ws), [np.log(brute(w)) for w in ws])
 
 
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    pieces = langid.Pieces(tokens.default_paths()[1])
+    assert pieces.longest > 10
+    rng = random.Random(4)
+    ws = [b" " + bytes(rng.choices(b"theonandri", k=n)) for n in (1, 5, 30, 63, 64, 90)]
+    counts = {w: np.array([1.0 + k, 2.0]) for k, w in enumerate(ws)}
+    short, logp = {}, {}
+    for limit in (3, 1000):
+        monkeypatch.setattr(langid, "LONG", limit)
+        logp[limit] = langid.fit(counts, pieces, 2)
+        short[limit] = langid.forward(pieces, logp[limit], ws)
+    assert np.allclose(logp[3], logp[1000]) and np.allclose(short[3], short[1000])
+    p = np.exp(logp[3])
+    whole = langid.Chain(pieces, p, ws[-1]).forward()[0]
+    assert np.allclose(langid.Chain(pieces, p, ws[-1], 7).forward()[0], whole)
+    assert np.isfinite(langid.Chain(pieces, p, b" " + b"ab" * 20_000).forward()[0]).all()
+
+
+def test_expected_counts_by_brute_force():
+    pieces = langid.Pieces(tokens.default_paths()[1], 4)
+    words_, codes = {b" the": 3.0, b" on": 1.0}, {}
+
+    def piece(x):
+        h = 0
+        for b in x:
+            h = (h * int(pieces.base) + int(pieces.table[b])) & (2**64 - 1)
+        return int(pieces.find(np.array([h], np.uint64))[0])
+
+    def cuts(w):
+        if not w:
+            yield []
+        for k in range(1, min(4, len(w)) + 1):
+            if piece(w[:k]) >= 0:
+                for rest in cuts(w[k:]):
+                    yield [piece(w[:k]), *rest]
+
+    p = np.zeros(pieces.size + 1)
+    p[:-1] = 1.0 / 256.0 ** pieces.lengths.clip(max=3)
+    p /= p.sum()
+    expected = np.zeros(pieces.size + 1)
+    for w, n in words_.items():
+        all_ = [(c, np.prod(p[c])) for c in cuts(w)]
+        total = sum(v for _, v in all_)
+        for c, v in all_:
+            for k in c:
+                expected[k] += n * v / total
+    want = expected[:-1] + 0.01
+    got = np.exp(langid.fit({w: np.array([n]) for w, n in words_.items()}, pieces, 1, rounds=1))[:-1, 0]
+    assert np.allclose(got, want / want.sum())
+
+
 def test_decontamination(spark, docs, nothing, texts):
     longest = words(texts[-2])
     bench = [(1, b" ".join(longest[10:30]).decode()), (10, b" ".join(longest[50:70]).decode()), (2, "mountain"), (3, ""), (4, None), (None, "sky"), (2, "mountain"), (5, "zzz qqq not here at all ever so long")]
@@ -313,6 +364,53 @@ def test_token_shards_round_trip(spark, docs, nothing, tmp_path):
     assert token_shards.write_shards(nothing, f"file://{tmp_path}/e").count() == 0
 
 
+def test_log_count_ratios_and_features_by_brute_force():
+    f = quality.Features(17)
+    ts = ["One two two three", None, "", "a b c d e f g a a"]
+    got = f.of(ts)
+    assert [len(x) for x in got][1:3] == [0, 0] and all(len(set(x.tolist())) == len(x) for x in got)
+    again = quality.Features(17).of([ts[3]])[0]
+    assert set(again.tolist()) == set(got[3].tolist())
+    n1, n0 = np.array([3.0, 0.0, 5.0]), np.array([1.0, 2.0, 5.0])
+    want = [np.log(((a + 1) / 11) / ((b + 1) / 11)) for a, b in zip(n1, n0)]
+    assert np.allclose(quality.log_count_ratio(n1, n0), want)
+
+
+def test_dual_descent_finds_the_least_hinge_loss():
+    rng = np.random.default_rng(2)
+    size, n, cost = 12, 40, 0.7
+    ratio = rng.standard_normal(size)
+    rows = [np.flatnonzero(rng.random(size) < 0.4) for _ in range(n)]
+    rows = [r if len(r) else np.array([0]) for r in rows]
+    y = np.where(rng.random(n) < 0.6, 1.0, -1.0)
+    x = np.zeros((n, size + 1))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, -1] = 1.0  # the bias is a weight of its own
+    c = cost * np.where(y > 0, 1.0, max(1.0, (y > 0).sum() / (y < 0).sum()))
+    loss = lambda w: 0.5 * w @ w + (c * np.maximum(0, 1 - y * (x @ w))).sum()
+    w, bias = quality.dual_descent(rows, y, ratio, cost, 3000)
+    found = loss(np.append(w, bias))
+    # Projected gradient ascent on the dual bounds the least loss from below.
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    a = np.zeros(n)
+    for _ in range(60_000):
+        a = np.clip(a + (1 - q @ a) / np.linalg.norm(q, 2), 0, c)
+    assert a.sum() - 0.5 * a @ q @ a <= found + 1e-9 <= a.sum() - 0.5 * a @ q @ a + 1e-2 * found
+
+
+def test_quality_of_clashing_labels_and_columns(spark):
+    rows = [(i, "good plain words here" if i % 2 else "X!! Y!! Z!!", "t", 1) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, y string, most int")
+    marks = [(i, i % 2) for i in range(40)]
+    twice = [*marks, *marks, (3, 0), (4, 1)]  # two clash
+    one = quality.fit(d, spark.createDataFrame([m for m in marks if m[0] not in (3, 4)], "doc_id long, quality int"))
+    two = quality.fit(d, spark.createDataFrame(twice, "doc_id long, quality int"))
+    assert np.array_equal(one.gain, two.gain)
+    assert quality.score(d.where("doc_id < 0"), two).count() == 0
+    assert quality.score(d.union(spark.createDataFrame([(77, "long " * 60_000, None, None)], d.schema)), two).count() == 41
+
+
 def test_quality(spark, nothing):
     rng = random.Random(0)
     rows, marks = [], []
@@ -351,6 +449,8 @@ def test_warc_round_trip(spark):
         assert all(bytes(r["payload"]) in (big.encode(), b"", b"<b>") for r in got if r["record_type"] == "response")
         assert max(r["segments"] for r in got) > 2
     assert warc.read(warc.write(pages.where("page_id < 0"))).count() == 0
+    extra = pages.withColumn("key", F.lit("k")).withColumn("first", F.lit(1)).withColumn("data", F.lit("d"))
+    assert warc.read(warc.write(extra)).count() == len(rows)
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nab\r\n0\r\n\r\n")
 
@@ -375,6 +475,17 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("vec_id > 999 and vec_id < 1005")).count() == 5
 
 
+def test_embeddings_of_several_lengths_and_odd_rows(spark):
+    rows = [(1, [1.0, 2.0], 7), (2, [1.0, 2.0], 7), (3, [2.0, 4.01], 7), (4, [1.0, 0.0, 0.0], 7), (5, [1.0, 0.01, 0.0], 7), (6, [0.0, 1.0, 0.0], 7)]
+    rows += [(None, [1.0, 2.0], 7), (6, [0.0, 0.0, 1.0], 7), (9, [5.0], 7), (4, [1.0, 0.0, 0.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long").withColumn("copies", F.lit("x"))
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False)]
+    want += [(6, 0, 6, True), (6, 0, 6, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+    assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
+
+
 def test_embeddings_keep_the_links_of_a_dense_group_at_depth(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((4500, 64))

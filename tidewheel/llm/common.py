@@ -28,11 +28,13 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors reach: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """Folder that all executors reach: ``spark.checkpoint.dir``. Where that is unset, an own one, but only if all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if base:
         return f"{base.rstrip('/')}/{app}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors reach: intermediate tables are written there.")
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="tidewheel-")
         atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
@@ -153,17 +155,18 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (v, c), c the smallest vertex reached.
 
     Minimum labels spread over the edges and are then shortened by pointer
-    jumping; each round is a written table. Labels stay distributed.
+    jumping, until nothing changes; each round is a written table. Labels stay
+    distributed.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c"))
     labels = materialize(labels, "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("m"))
         new = labels.join(near, labels["v"] == near["a"]).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         new = materialize(new, "spread")
@@ -173,16 +176,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("v", "c")
         if new.where("c <> old").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, uses: str, hot: int = 1000) -> DataFrame:
     """Left join to a table with one row a key, whose ``uses`` counts the left rows of that key.
 
-    Keys with over 1/``hot`` of all rows are fewer than ``hot``, so that part
-    is broadcast; the rest joins by a shuffle in which no key is large.
+    Keys with over 1/``hot`` of all rows are fewer than ``hot``: they are
+    joined by a broadcast, and their rows, spread by a hash of the left side's
+    numbers, meet nothing in the shuffle join of the rest, in which no key is
+    large. The left side is read once.
     """
     total = right.agg(F.sum(uses)).first()[0] or 0
-    many = F.broadcast(right.where(F.col(uses) * hot > total))
-    few = right.where(F.col(uses) * hot <= total)
-    return left.join(many, key).unionByName(left.join(many.select(key), key, "left_anti").join(few, key, "left"))
+    numbers = [c for c, t in left.dtypes if t in ("bigint", "int", "boolean")]
+    payload = [c for c in right.columns if c != key]
+    named = lambda df, mark: df.select(F.col(key).alias(f"_key{mark}"), *[F.col(c).alias(f"_{mark}_{c}") for c in payload])
+    many = named(right.where(F.col(uses) * hot > total), "m")
+    few = named(right.where(F.col(uses) * hot <= total), "f").withColumn("_zero", F.lit(0))
+    out = left.join(F.broadcast(many), F.col(key) == F.col("_keym"), "left")
+    cold = F.col("_keym").isNull() & F.col(key).isNotNull()
+    out = out.withColumn("_cold", F.when(cold, F.col(key)))
+    out = out.withColumn("_salt", F.when(cold, 0).otherwise(F.pmod(F.xxhash64(*(numbers or [F.lit(0)])), F.lit(9973)).cast("int") + 1))
+    out = out.join(few, (F.col("_cold") == F.col("_keyf")) & (F.col("_salt") == F.col("_zero")), "left")
+    return out.select(*left.columns, *[F.coalesce(f"_m_{c}", f"_f_{c}").alias(c) for c in payload])

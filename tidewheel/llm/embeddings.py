@@ -141,15 +141,17 @@ def near_duplicates(
     precision that meet in a leaf of the forest, each counted once, whatever
     the number of leaves in which it meets. Equal vectors are one class: they
     link with each other, and with what their class links with. Vectors that
-    are null, empty, zero or hold null or non-finite components, and vectors
-    of another length than the most frequent one, link with nothing. The
+    are null, empty, zero or hold null or non-finite components link with
+    nothing. Vectors of each length have a forest of their own. A
     forest is fitted on a sample of at most 40,000 distinct vectors; its depth
     follows the number of vectors, but groups that are dense at the
     threshold's distance are not cut. Leaves above ``block_rows`` are compared
     block by block, so that no task holds more than two blocks; rows that were
     together in an uncut group of an earlier tree aren't compared again.
     Null vec_ids are kept and link with nothing; a repeated vec_id with equal
-    vectors is one more copy.
+    vectors is one more copy, and one with other vectors has a row for each,
+    which share the component and may share link counts. Other columns, of any
+    name, are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
@@ -158,17 +160,23 @@ def near_duplicates(
     good = good & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
     rows = common.materialize(rows.withColumn("good", F.col("good") & F.col("vec_id").isNotNull()), "vectors")
-    sizes = rows.where("good").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
-        return alone(rows)
-    fits = F.col("good") & (F.size("v") == sizes["n"])
-    classes = rows.where(fits).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    lengths = sorted(r["n"] for r in rows.where("good").select(F.size("v").alias("n")).distinct().collect())
+    alone = rows.where(~F.col("good"))
+    out = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for n in lengths:  # one, as a rule
+        own = rows.where(F.col("good") & (F.size("v") == n))
+        out = out.unionByName(_of_one_length(own, n, threshold, trees, leaf_rows, spill, block_rows))
+    return out
+
+
+def _of_one_length(rows: DataFrame, dim: int, threshold: float, trees: int, leaf_rows: int, spill: float, block_rows: int) -> DataFrame:
+    spark = rows.sparkSession
+    classes = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = common.materialize(classes, "classes")
     total = classes.count()
     rate = min(1.0, 0.9 * SAMPLE / total)
     drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * rate)).orderBy("rep").select("v").limit(SAMPLE).toPandas()
-    sample = unit(np.array(drawn["v"].tolist(), float).reshape(-1, sizes["n"]))
+    sample = unit(np.array(drawn["v"].tolist(), float).reshape(-1, dim))
     depth = max(0, min(int(np.ceil(np.log2(max(1.0, total / leaf_rows)))), int(np.log2(max(1, len(sample) / 8)))))
     forest = spark.sparkContext.broadcast(Forest(sample, trees, depth, spill, threshold))
 
@@ -239,9 +247,8 @@ def near_duplicates(
     labels = common.components(found.where("a <> b").select("a", "b"))
     info = classes.join(linked, "rep", "left").join(labels.withColumnRenamed("v", "vertex"), F.col("rep") == F.col("vertex"), "left")
     info = info.select("v", "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "rep").alias("component_id"))
-    hit = common.lookup(rows.where(fits), info, "v", "copies")
-    hit = hit.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return hit.unionByName(alone(rows.where(~fits)))
+    hit = common.lookup(rows, info, "v", "copies")
+    return hit.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -121,11 +121,15 @@ def fit(
 
     The log-count ratios count all of them; the linear model is fitted on the
     driver to a sample of about ``sample_rows`` by a hash of the id, a fixed
-    bound. None if there are no labelled rows of both classes.
+    bound. None if there are no labelled rows of both classes. Label rows of
+    one id count once; where they clash the id teaches nothing. Rows of
+    documents with one id each take its label. Other columns, of any name, are
+    ignored.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
+    marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     marks = marks.where(common.in_training())
     total = marks.count()
     if total <= 2_000_000:  # 32 MB at most; beyond that the join shuffles

@@ -127,4 +127,4 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _OP2, "op9_license_scan": _op9()}
+    return {"op2_benchmark_decontamination": _OP2, "op6_warc_round_trip": _OP6, "op9_license_scan": _op9()}

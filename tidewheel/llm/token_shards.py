@@ -97,6 +97,8 @@ def sequences(docs: DataFrame, length: int, tokenizer: str, ranks: str | None, e
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in common.chunks_of(texts, lambda t: len(t or ""), 1 << 22):
                 for doc_id, ids in zip(doc_ids[i:j], encoder.encode(texts[i:j])):
+                    if len(ids) and int(ids.max()) > 65535:
+                        raise ValueError("ids above 65,535 don't fit the shards' 16 bits: take another vocabulary")
                     waiting.append(np.append(ids, np.uint32(end_id)))
                     spans.append([doc_id, 0, len(ids) + 1])
                     held += len(ids) + 1
@@ -124,14 +126,18 @@ def write_shards(
     ``s // shard_sequences``. Records are ``length`` little-endian 16-bit ids,
     padded with ``end_id``, so reads of any slot range are one seek; the
     ``.json`` beside a shard has its real lengths and documents, and
-    ``manifest.json`` the geometry. Vocabularies must be below 65,536.
+    ``manifest.json`` the geometry. Ids above 65,535 are an error.
 
     Returns, from the files as read back, a row per sequence: slot, shard,
     shard_row, n_tokens, ids_crc32 (of the real ids) and, in order, the
     documents in it: doc_ids, doc_starts (id offset in the document), places
     (offset in the sequence). Null text counts as empty; null and repeated
-    doc_ids stay; an empty table writes the manifest only.
+    doc_ids stay; an empty table writes the manifest only; other columns, of
+    any name, are ignored; texts of any length are cut over as many sequences
+    as they need.
     """
+    if not 0 <= end_id <= 65535:
+        raise ValueError("end_id doesn't fit 16 bits")
     if tokenizer is None:
         tokenizer, ranks = default_paths()
     spark = docs.sparkSession

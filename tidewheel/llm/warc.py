@@ -60,7 +60,7 @@ def _clean(url: str | None) -> str:
     return "".join(c for c in url or "" if c not in "\r\n")
 
 
-def records_of(page_id, url, payload: bytes | None, n: int, digest: str, refers_to, rid: str, date: str, segment: int, chunk: int) -> Iterator[bytes]:
+def records_of(page_id, url, payload: bytes | None, n: int, digest: str, refers_to, refers_url: str | None, rid: str, date: str, segment: int, chunk: int) -> Iterator[bytes]:
     """Records of one page: a response, cut into segments where its block is longer, or a revisit without payload."""
     head = [
         ("WARC-Record-ID", f"<{rid}>"),
@@ -74,7 +74,10 @@ def records_of(page_id, url, payload: bytes | None, n: int, digest: str, refers_
     if payload is None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Page", json.dumps(refers_to)), *head], http)
+        own = [("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Date", date), ("WARC-Refers-To-Page", json.dumps(refers_to))]
+        if refers_url is not None:
+            own.append(("WARC-Refers-To-Target-URI", _clean(refers_url)))
+        yield record([*own, *head], http)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -140,8 +143,11 @@ def write(pages: DataFrame, out: str | None = None, min_bytes: int = 0, segment_
     revisits of it; shorter ones are all responses. A task writes one archive
     under its own attempt's name; only archives in the manifest count, which
     is a written table, so tasks that run again leave nothing behind that is
-    read. Html crosses the one shuffle compressed; payloads that very many
-    pages share are looked up by a bounded broadcast.
+    read. Html crosses the one shuffle compressed, once; payloads that very
+    many pages share are looked up by a bounded broadcast. A revisit names the
+    date and URI of its response in the standard's headers, and its page in
+    one of ours. Other columns, of any name, are ignored; an empty table gives
+    no archive; a payload has to fit a task.
     """
     spark = pages.sparkSession
     common.small_batches(spark)
@@ -152,8 +158,10 @@ def write(pages: DataFrame, out: str | None = None, min_bytes: int = 0, segment_
     where.create_dir(path, recursive=True)
     html = F.coalesce(F.col("html"), F.lit(""))
     key = F.sha1(html.cast("binary"))
-    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), key.alias("key"))
-    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("uses"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), key.alias("key"))
+    own = F.min_by(F.struct("url"), "page_id")
+    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), own.alias("of"), F.count("*").alias("uses"))
+    first = common.materialize(first.where("uses > 1").select("key", "first", F.col("of.url").alias("first_url"), "uses"), "firsts")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -162,7 +170,7 @@ def write(pages: DataFrame, out: str | None = None, min_bytes: int = 0, segment_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([z.compress(d) for d in data], pa.binary())], ["page_id", "url", "key", "data"])
 
     packed = rows.mapInArrow(squeeze, "page_id long, url string, key string, data binary")
-    decided = common.lookup(packed, first, "key", "uses").select("page_id", "url", "data", "first")
+    decided = common.lookup(packed, first, "key", "uses").select("page_id", "url", "data", "first", "first_url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -171,12 +179,12 @@ def write(pages: DataFrame, out: str | None = None, min_bytes: int = 0, segment_
         target, base = pafs.FileSystem.from_uri(out)
         with target.open_output_stream(f"{base}/{name}", compression=None) as f:
             for b in batches:
-                for page_id, url, data, first_id in zip(*(c.to_pylist() for c in b.columns)):
+                for page_id, url, data, first_id, first_url in zip(*(c.to_pylist() for c in b.columns)):
                     payload = z.decompress(data)
                     digest = base32_sha1(payload)
                     again = first_id is not None and page_id != first_id
                     rid = f"urn:uuid:{uuid.UUID(hashlib.md5(f'{run_id}:{name}:{n}'.encode()).hexdigest())}"
-                    for r in records_of(page_id, url, None if again else payload, len(payload), digest, first_id, rid, date, segment_bytes, chunk_bytes):
+                    for r in records_of(page_id, url, None if again else payload, len(payload), digest, first_id, first_url, rid, date, segment_bytes, chunk_bytes):
                         f.write(r)
                         total += len(r)
                     n += 1
