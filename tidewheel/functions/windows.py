@@ -76,6 +76,17 @@ def row_index(df: DataFrame, time: str = "time", name: str = "rn", parts: int |
     return ranged.withColumn("_local", local).join(F.broadcast(counts), "_part").withColumn(name, F.col("_base") + F.col("_local")).drop("_part", "_base", "_local")
 
 
+def running_sum(df: DataFrame, value: str, name: str, rn: str = "rn", width: int = 100_000, own: bool = True) -> DataFrame:
+    """Sum of a column over all rows up to each one (``own``: with it) by position: sums within blocks of ``width`` positions and those of the blocks before. No task holds the series."""
+    block = df.withColumn("_block", F.floor(F.col(rn) / width).cast("long"))
+    sums = block.groupBy("_block").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select("_block", before.alias("_before"))  # a row a block
+    inner = F.sum(value).over(Window.partitionBy("_block").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    out = block.withColumn("_inner", F.coalesce(inner, F.lit(0.0))).join(sums, "_block")
+    return out.withColumn(name, F.col("_before") + F.col("_inner")).drop("_block", "_inner", "_before")
+
+
 def _rank(place: Column, bounds: list) -> Column:
     """How many of the sorted bounds are at most the place, by a tree of comparisons."""
     if not bounds:

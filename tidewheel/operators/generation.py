@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 from datetime import datetime
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import WrongParameter
 from ..frame import Series
-from ..functions.windows import micros, row_index
+from ..functions.windows import micros, row_index, running_sum
 from .base import Operator
 
 
@@ -25,8 +26,35 @@ class Draws:
     columns: dict[str, list[float]] = field(default_factory=dict)
 
 
-def place(n: int, count: float, taken: set[int], rng: np.random.RandomState, distribution: str = "uniform", mean: float = 1, std: float = 0, min: int = 1, max: int = 1) -> tuple[list[int], list[int]]:
-    """Free, non-overlapping places for the anomalies of a series of n rows; an error if they don't fit."""
+class Taken:
+    """Closed intervals of rows that are in use, kept sorted and apart."""
+
+    def __init__(self, intervals: list[tuple[int, int]]) -> None:
+        self.begin, self.end = [list(x) for x in zip(*sorted(intervals))] if intervals else ([], [])
+
+    def add(self, first: int, last: int) -> bool:
+        """Take an interval; False if some of it is taken."""
+        i = bisect.bisect_right(self.begin, last)
+        if i and self.end[i - 1] >= first:
+            return False
+        self.begin.insert(i, first)
+        self.end.insert(i, last)
+        return True
+
+    def gaps(self, n: int):
+        at = 0
+        for a, b in zip([*self.begin, n], [*self.end, n]):
+            if a > at:
+                yield at, a
+            at = max(at, b + 1)
+
+
+def place(n: int, count: float, taken: list[tuple[int, int]], rng: np.random.RandomState, distribution: str = "uniform", mean: float = 1, std: float = 0, min: int = 1, max: int = 1) -> tuple[list[int], list[int]]:
+    """Free, non-overlapping places for the anomalies of a series of n rows; an error if they don't fit.
+
+    Places are drawn until one is free; where that fails often, one is drawn
+    from all that are free.
+    """
     quantity = count if isinstance(count, int) else int(count * n)
     if distribution == "uniform":
         lengths = rng.uniform(min, max, quantity)
@@ -35,20 +63,35 @@ def place(n: int, count: float, taken: set[int], rng: np.random.RandomState, dis
     else:
         raise WrongParameter(f"Distribution {distribution!r} is unknown.", "Use uniform or normal.")
     lengths = np.maximum(1, np.round(lengths)).astype(int).tolist()
-    starts, taken = [], set(taken)
+    starts, used = [], Taken(taken)
     for size in lengths:
-        free = [i for i in range(n - size + 1) if i not in taken]
-        while free:
-            i = free.pop(int(rng.randint(len(free))))
-            if taken.isdisjoint(range(i, i + size)):
-                starts.append(i)
-                taken.update(range(i, i + size))
+        for _ in range(30):
+            i = int(rng.randint(n - size + 1)) if size <= n else 0
+            if size <= n and used.add(i, i + size - 1):
                 break
         else:
-            raise WrongParameter(f"No place is left for an anomaly of {size} rows.", "Use fewer or shorter ones.")
+            free = [(a, b - size + 1) for a, b in used.gaps(n) if b - a >= size]
+            if not free:
+                raise WrongParameter(f"No place is left for an anomaly of {size} rows.", "Use fewer or shorter ones.")
+            k = int(rng.randint(sum(b - a for a, b in free)))
+            for a, b in free:
+                if k < b - a:
+                    break
+                k -= b - a
+            i = a + k
+            used.add(i, i + size - 1)
+        starts.append(i)
     return starts, lengths
 
 
+def _runs(labelled: DataFrame) -> list[tuple[int, int]]:
+    """First and last rows of runs of labelled rows: two numbers a run reach the driver."""
+    rows = labelled.select("rn")
+    first = rows.join(rows.select((F.col("rn") + 1).alias("rn")), "rn", "left_anti")
+    last = rows.join(rows.select((F.col("rn") - 1).alias("rn")), "rn", "left_anti")
+    return list(zip(sorted(r[0] for r in first.collect()), sorted(r[0] for r in last.collect())))
+
+
 class AnomalyGeneration(Operator):
     """Kinds: gap, constant, negate, outlier, lag. ``transform`` gives the changed series and ``labels``.
 
@@ -56,16 +99,18 @@ class AnomalyGeneration(Operator):
     new value as a Column over ``v`` (the value), ``k`` and ``len`` (place in
     the anomaly and its length), ``x0`` (value at its start), ``before`` (value
     before its start) and what ``draws.columns`` adds; subclasses add kinds.
+    ``places`` gives (first row, number of rows) of each anomaly instead of
+    drawing them. A row an anomaly is on the driver; the series isn't.
     """
 
-    suffix_sum = False
+    prefix_sum = False
 
-    def __init__(self, count: float = 1, anomaly: str = "gap", anomaly_params: dict | None = None, length_params: dict | None = None, label: int | None = None, seed: int = 0, name: str | None = None) -> None:
+    def __init__(self, count: float = 1, anomaly: str = "gap", anomaly_params: dict | None = None, length_params: dict | None = None, label: int | None = None, seed: int = 0, places: list | None = None, name: str | None = None) -> None:
         kinds = sorted(m.removeprefix("_anomaly_") for m in dir(type(self)) if m.startswith("_anomaly_"))
         if anomaly not in kinds:
             raise WrongParameter(f"Anomaly {anomaly!r} is unknown.", f"Use one of {kinds}.")
         self.count, self.anomaly, self.anomaly_params, self.length_params = count, anomaly, anomaly_params or {}, length_params or {}
-        self.label, self.seed, self.name = label, seed, name or type(self).__name__
+        self.label, self.seed, self.places, self.name = label, seed, places, name or type(self).__name__
 
     def transform(self, x: Series, labels: Series | None = None) -> dict[str, Series]:
         df = x.df.select(*x.index, F.col(x.col).cast("double").alias("v"))
@@ -75,37 +120,40 @@ class AnomalyGeneration(Operator):
             df = df.withColumn("label", F.lit(0))
         df = row_index(df, x.time, "rn").persist()
         n = df.count()
-        taken = {r[0] for r in df.where("label <> 0").select("rn").collect()}
         top = df.agg(F.max("label")).first()[0] or 0
         rng = np.random.RandomState(self.seed)
-        starts, lengths = place(n, self.count, taken, rng, **self.length_params)
+        if self.places is not None:
+            starts, lengths = [int(a) for a, _ in self.places], [int(k) for _, k in self.places]
+            if any(a < 0 or k < 1 or a + k > n for a, k in self.places):
+                raise WrongParameter("A place is outside of the series.", f"It has {n} rows.")
+        else:
+            starts, lengths = place(n, self.count, _runs(df.where("label <> 0")) if top else [], rng, **self.length_params)
         draws = Draws(starts, lengths, rng)
         self._stats = df.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).first()
         value = getattr(self, f"_anomaly_{self.anomaly}")(draws, **self.anomaly_params)
-        cols = {"s": starts, "len": lengths} | draws.columns
-        rows = [(int(s + k), int(k), *(float(c[i]) for c in cols.values())) for i, s in enumerate(starts) for k in range(lengths[i])]
-        table = df.sparkSession.createDataFrame(rows, "rn long, k int, " + ", ".join(f"`{c}` double" for c in cols))
-        w = Window.orderBy("rn")
-        near = df.where(F.col("rn").isin([int(s) + d for s in starts for d in (-1, 0)])).select("rn", "v")
-        at = table.where("k = 0").select("s").join(near.select(F.col("rn").alias("s"), F.col("v").alias("x0")), "s", "left")
-        at = at.join(near.select((F.col("rn") + 1).alias("s"), F.col("v").alias("before")), "s", "left")
-        inside = df.join(F.broadcast(table), "rn").join(F.broadcast(at), "s")
+        names = ["s", "len", *draws.columns]
+        rows = [(int(s), int(k), *(float(c[i]) for c in draws.columns.values())) for i, (s, k) in enumerate(zip(starts, lengths))]
+        table = df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c in ('s', 'len') else 'double'}" for c in names))
+        series = df.select("rn", "v")
+        at = table.join(series.select(F.col("rn").alias("s"), F.col("v").alias("x0")), "s", "left")
+        at = at.join(series.select((F.col("rn") + 1).alias("s"), F.col("v").alias("before")), "s", "left")
+        if self.prefix_sum:
+            sums = running_sum(series, "v", "prefix", own=False)
+            at = at.join(sums.select(F.col("rn").alias("s"), "prefix"), "s", "left")
+        each = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("len") - 1))).withColumn("rn", F.col("s") + F.col("k"))
+        inside = each.join(series, "rn")
         sums = inside.groupBy("s").agg(F.sum("v").alias("total"), F.min("v").alias("low"))
-        prefix = df.select("rn", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prefix")) if self.suffix_sum else None
-        inside = inside.join(F.broadcast(sums), "s")
-        if prefix is not None:
-            inside = inside.join(prefix.select(F.col("rn").cast("double").alias("s"), F.coalesce("prefix", F.lit(0.0)).alias("prefix")), "s")
+        inside = inside.join(sums, "s")
         changed = inside.select("rn", value.alias("new"), F.lit(True).alias("hit"))
         new_label = self.label if self.label is not None else top + 1
         out = df.join(changed, "rn", "left")
         shift = self._shift(draws)
         if shift:
-            steps = df.sparkSession.createDataFrame([(int(s), float(c)) for s, c in shift], "rn long, step double")
-            base = at.select(F.col("s").cast("long").alias("rn"), "x0", "before").join(steps, "rn")
-            amount = base.select("rn", (F.col("step") * F.abs(F.col("x0") - F.col("before"))).alias("amount"))
-            total = F.sum(F.coalesce("amount", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            out = out.join(F.broadcast(amount), "rn", "left").withColumn("new", F.col("v") + total)
-            value_out = F.col("new")
+            steps = df.sparkSession.createDataFrame([(int(s), float(c)) for s, c in shift], "s long, step double")
+            amount = at.join(steps, "s").select(F.col("s").alias("rn"), (F.col("step") * F.abs(F.col("x0") - F.col("before"))).alias("amount"))
+            moved = running_sum(series.select("rn").join(amount, "rn", "left"), "amount", "shift")
+            out = out.join(moved.select("rn", "shift"), "rn")
+            value_out = F.col("v") + F.col("shift")
         else:
             value_out = F.when(F.col("hit"), F.col("new")).otherwise(F.col("v"))
         out = out.select(*x.index, value_out.alias(x.col), F.when(F.col("hit"), new_label).otherwise(F.col("label")).cast("int").alias("labels"))
@@ -186,7 +234,7 @@ class EnergyAnomalyGeneration(AnomalyGeneration):
 class PowerAnomalyGeneration(AnomalyGeneration):
     """type1: minus all before, zeros, then all at the end; type2: zeros, then the sum; type3: minus all before; type4: a share of the value before."""
 
-    suffix_sum = True
+    prefix_sum = True
 
     @staticmethod
     def _sizes(draws: Draws, test, text: str) -> None:

@@ -454,12 +454,49 @@ def _(spark, d):
     return out(generation.DriftInsertion([drift]).transform(daily(spark, d)))
 
 
-for _kind in ("gap", "constant", "negate", "outlier", "lag"):
+#: Places (first row, rows) of the generated anomalies, and the SQL of what they need.
+_LONG_PLACES, _SHORT_PLACES = [(40, 5), (300, 3), (700, 6)], [(40, 1), (300, 1), (700, 1)]
+
+
+def _anomaly_sql(places, value: str, shift: str = "0") -> str:
+    rows = ", ".join(f"({a}, {n})" for a, n in places)
+    return f""", d AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS rn FROM daily), st AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM daily),
+pl(s, len) AS (VALUES {rows}),
+x AS (SELECT s, len, (SELECT v FROM d WHERE rn = s) AS x0, (SELECT v FROM d WHERE rn = s - 1) AS before, (SELECT coalesce(sum(v), 0) FROM d WHERE rn < s) AS prefix,
+(SELECT sum(v) FROM d WHERE rn >= s AND rn < s + len) AS total, (SELECT min(v) FROM d WHERE rn >= s AND rn < s + len) AS low FROM pl),
+j AS (SELECT d.*, x.*, rn - s AS k FROM d LEFT JOIN x ON rn >= s AND rn < s + len)
+SELECT time, round(({f"CASE WHEN s IS NULL THEN v ELSE {value} END" if shift == "0" else f"v + coalesce((SELECT sum({shift} * abs(x.x0 - x.before)) FROM x WHERE x.s <= j.rn), 0)"}), 4) AS v, (s IS NOT NULL)::INTEGER AS labels FROM j, st"""
+
+
+_RAMP = "CASE WHEN floor(len * 0.4) > 0 AND least(k + 1, len - k) <= floor(len * 0.4) THEN least(k + 1, len - k) / (floor(len * 0.4) + 1) ELSE 1 END"
+_ANOMALIES = {
+    "anomaly_gap": (generation.AnomalyGeneration, "gap", {}, _LONG_PLACES, "NULL"),
+    "anomaly_constant": (generation.AnomalyGeneration, "constant", {}, _LONG_PLACES, "x0"),
+    "anomaly_constant_number": (generation.AnomalyGeneration, "constant", {"constant": 7.5}, _LONG_PLACES, "7.5"),
+    "anomaly_negate": (generation.AnomalyGeneration, "negate", {}, _LONG_PLACES, "-v"),
+    "anomaly_outlier": (generation.AnomalyGeneration, "outlier", {"outlier_sign": "positive", "random": False, "limits": (3, 0)}, _LONG_PLACES, "mean + 3 * std"),
+    "anomaly_outlier_multiple": (generation.AnomalyGeneration, "outlier", {"outlier_type": "multiple", "outlier_sign": "negative", "random": False, "limits": (3, 0)}, _LONG_PLACES, "v * -3"),
+    "anomaly_lag": (generation.AnomalyGeneration, "lag", {}, _LONG_PLACES, "CASE WHEN k = len - 1 THEN v ELSE 0 END"),
+    "energy_type1": (generation.EnergyAnomalyGeneration, "type1", {}, _LONG_PLACES, "0"),
+    "energy_type2": (generation.EnergyAnomalyGeneration, "type2", {}, _LONG_PLACES, "before"),
+    "energy_type3": (generation.EnergyAnomalyGeneration, "type3", {"range_r": (2, 2)}, _SHORT_PLACES, ("-2",)),
+    "energy_type4": (generation.EnergyAnomalyGeneration, "type4", {"range_r": (2, 2)}, _SHORT_PLACES, ("2",)),
+    "power_type1": (generation.PowerAnomalyGeneration, "type1", {"k": 3}, _LONG_PLACES, "CASE WHEN k = 0 THEN -prefix - 3 WHEN k = len - 1 THEN prefix + total + 3 ELSE 0 END"),
+    "power_type2": (generation.PowerAnomalyGeneration, "type2", {"softstart": False}, _LONG_PLACES, "CASE WHEN k = len - 1 THEN total ELSE 0 END"),
+    "power_type3": (generation.PowerAnomalyGeneration, "type3", {"range_r": (2, 2)}, _SHORT_PLACES, "-2 * before"),
+    "power_type3_extreme": (generation.PowerAnomalyGeneration, "type3", {"is_extreme": True, "k": 3}, _SHORT_PLACES, "-prefix - 3"),
+    "power_type4": (generation.PowerAnomalyGeneration, "type4", {"range_r": (2, 2)}, _SHORT_PLACES, "2 * before"),
+    "unusual_type1": (generation.UnusualBehaviour, "type1", {"min_factor": 0.5, "max_factor": 0.5}, _LONG_PLACES, "v - 0.5 * low"),
+    "unusual_type2": (generation.UnusualBehaviour, "type2", {"min_factor": 0.5, "max_factor": 0.5}, _LONG_PLACES, "v + 0.5 * low"),
+    "unusual_type3": (generation.UnusualBehaviour, "type3", {"min_factor": 0.5, "max_factor": 0.5, "transition": 0.4}, _LONG_PLACES, f"v - 0.5 * low * {_RAMP}"),
+    "unusual_type4": (generation.UnusualBehaviour, "type4", {"min_factor": 0.5, "max_factor": 0.5, "transition": 0.4}, _LONG_PLACES, f"v + 0.5 * low * {_RAMP}"),
+}
+for _name, (_cls, _kind, _params, _places, _value) in _ANOMALIES.items():
 
-    @query(f"anomaly_{_kind}")
-    def _(spark, d, kind=_kind):
-        got = generation.AnomalyGeneration(5, kind, length_params={"min": 2, "max": 6}).transform(daily(spark, d))
-        return got["v"].frame().join(got["labels"].frame(), "time")
+    @query(_name, _anomaly_sql(_places, "", _value[0]) if isinstance(_value, tuple) else _anomaly_sql(_places, _value))
+    def _(spark, d, cls=_cls, kind=_kind, params=_params, places=_places):
+        got = cls(len(places), kind, params, places=places).transform(daily(spark, d))
+        return out(got["v"]).join(got["labels"].frame(), "time")
 
 
 @query("stream_window_mean", "SELECT k, time_bucket(INTERVAL 6 HOUR, time) AS time, count(v) AS n, round(avg(v), 4) AS mean FROM ev GROUP BY 1, 2")
