@@ -49,7 +49,7 @@ def bucketed(df: DataFrame, size: int, bucket: int | None = None, time: str = "t
     next_ = at + 1
     reaches = (next_ * width - micros(time)) <= size
     copies = F.when(reaches, F.array(at, next_)).otherwise(F.array(at))
-    return df.withColumn("_own", at).withColumn("_bucket", F.explode(copies)).withColumn("_halo", F.col("_bucket") != F.col("_own")).drop("_own")
+    return df.withColumn("_own", at).withColumn("_bucket", F.explode(copies)).withColumn("_halo", ~F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_own")
 
 
 def row_index(df: DataFrame, time: str = "time", name: str = "rn", parts: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import inspect
 from typing import Any
 
@@ -12,6 +13,7 @@ class Operator:
     has_inverse_transform = False
     has_predict_proba = False
     should_align = True
+    min_data_in_time = False  # get_min_data is in microseconds
 
     def get_params(self, deep: bool = False) -> dict[str, Any]:
         names = [p for p in inspect.signature(type(self).__init__).parameters if p not in ("self", "args", "kwargs")]
@@ -39,6 +41,16 @@ class Operator:
         """History in rows (or microseconds for time ranges) that one new value needs."""
         return 0
 
+    def clone(self):
+        """A new operator with the same parameters and fitted values."""
+        params = {k: v.clone() if isinstance(v, Operator) else v for k, v in self.get_params().items()}
+        out = type(self)(**params)
+        if getattr(self, "state", None) is not None:
+            out.state = copy.deepcopy(self.state)
+        if getattr(self, "model", None) is not None:
+            out.model = self.model  # models of Spark ML don't change
+        return out
+
     def __call__(self, **inputs: Any):
         from ..plans.pipeline import wire
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import InputNotAvailable, UtilError, WrongParameter
 from ..frame import Series, align
 from ..functions.holidays import holiday_table, rules
-from ..functions.windows import micros, span_micros, time_range
+from ..functions.windows import bucketed, span_micros, time_range
 from .base import Operator
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -75,10 +75,17 @@ KNOWN = (
 
 
 class RollingBase(Operator):
-    """A statistic of the values in a trailing time window, of rows of the same group where one is asked for; missing gives 0."""
+    """A statistic of the values in a trailing time window, of rows of the same group where one is asked for; missing gives 0.
+
+    Series are cut into buckets of ``BUCKET`` windows, each with the rows of
+    the window before it, so that one long series runs in many tasks.
+    """
+
+    BUCKET = 16
 
     GROUPS = ("No", "WorkdayWeekend", "WorkdayWeekendAndHoliday", "HourOnly")
     should_align = False
+    min_data_in_time = True
 
     def __init__(self, window_size: int = 24 * 7, window_size_unit: str = "d", group_by: str = "No", continent: str = "Europe", country: str = "Germany", closed: str = "left", name: str | None = None) -> None:
         if group_by not in self.GROUPS:
@@ -105,9 +112,12 @@ class RollingBase(Operator):
             group = minute + F.when((wd >= 5) | F.col("_holiday").isNotNull(), 1440).otherwise(0)
         else:
             group = {"No": F.lit(0), "HourOnly": minute, "WorkdayWeekend": minute + F.when(wd >= 5, 1440).otherwise(0)}[self.group_by]
-        parts = list(x.keys) + ([] if self.group_by == "No" else ["_group"])
+        parts = [*x.keys, "_bucket", *([] if self.group_by == "No" else ["_group"])]
         w = time_range(self.size, self.closed, parts, x.time)
-        df = df.withColumn("_group", group).select(*x.index, F.coalesce(self.statistic(F.col(x.col), w), F.lit(0.0)).alias(x.col))
+        self._time = x.time
+        df = bucketed(df.withColumn("_group", group), self.size, self.BUCKET * self.size, x.time)
+        value = F.coalesce(self.statistic(F.col(x.col), w), F.lit(0.0))
+        df = df.select(*x.index, value.alias(x.col), "_halo").where(~F.col("_halo")).drop("_halo")
         if index is not None:
             df = df.join(index.df.select(*x.index), x.index, "left_semi")
         return x.on(df)
@@ -124,7 +134,7 @@ class RollingMean(RollingBase):
         if self.alpha is None:
             return F.avg(v).over(w)
         keep = F.lit(1.0 - self.alpha)
-        slots = F.array_sort(F.collect_list(F.struct(micros().alias("t"), v.alias("v"))).over(w))  # missing slots decay too
+        slots = F.array_sort(F.collect_list(F.struct(F.col(self._time).alias("t"), v.alias("v"))).over(w))  # missing slots decay too
         start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
         step = lambda a, x: F.struct(
             (a["s"] * keep + F.coalesce(x["v"], F.lit(0.0))).alias("s"), (a["n"] * keep + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("n")
@@ -159,6 +169,8 @@ class RollingKurtosis(RollingBase):
 class RollingError(Operator):
     """An error of each prediction in a trailing window that ends with the row; y is the truth, other keywords predictions."""
 
+    min_data_in_time = True
+
     def __init__(self, window_size: int = 24, window_size_unit: str = "d", name: str | None = None) -> None:
         self.window_size, self.window_size_unit, self.name = window_size, window_size_unit, name or type(self).__name__
         self.size = span_micros(f"{window_size}{window_size_unit}")
@@ -176,7 +188,7 @@ class RollingError(Operator):
         if not predictions:
             raise InputNotAvailable("No predictions are given.", "Pass them by keyword besides y.")
         df, s = align({"y": y} | predictions)
-        w = time_range(self.size, "right", list(s.keys), s.time)
+        w = time_range(self.size, "right", [*s.keys, "_bucket"], s.time)
 
         def errors(p: str) -> Column:
             if not y.is_array:
@@ -188,7 +200,9 @@ class RollingError(Operator):
             return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a))
 
         rows = df.select(*s.index, *[self.row(errors(p), mean).alias(p) for p in predictions])
-        return s, rows.select(*s.index, *[self.result(F.col(p), w).alias(p) for p in predictions])
+        rows = bucketed(rows, self.size, RollingBase.BUCKET * self.size, s.time)
+        rows = rows.select(*s.index, *[self.result(F.col(p), w).alias(p) for p in predictions], "_halo")
+        return s, rows.where(~F.col("_halo")).drop("_halo")
 
     def transform(self, y: Series, **predictions: Series) -> dict[str, Series]:
         s, out = self.frame(y, **predictions)

@@ -36,6 +36,20 @@ class Metric(Operator):
     def transform(self, y: Series, **predictions: Series) -> DataFrame:
         if not predictions:
             raise InputNotAvailable("No predictions are given.", "Pass them by keyword besides y.")
+        df, s = self._aligned(y, predictions)
+        return _one_pass(self.prepare(df, s), self._parts(predictions, s))
+
+    def _parts(self, predictions, s: Series) -> list[tuple[str, str, Column]]:
+        parts = []
+        for p in predictions:
+            for suffix, within in [("", F.lit(True)), *self._cuts(s.time)]:
+                rows = within & self.filter_method(F.col(p), F.col("_y")) if self.filter_method else within
+                value = self.value(F.col(p).cast("double"), F.col("_y").cast("double"), rows)
+                parts.append((self.name, p + suffix, F.struct(F.count_if(within).alias("n"), value.cast("double").alias("value"))))
+        return parts
+
+    def _aligned(self, y: Series, predictions: dict[str, Series]):
+        """Truth as ``_y`` and predictions side by side, one value a row, after the offset."""
         flat = {"_y": y} | predictions
         df, s = align(flat)
         for n, x in flat.items():
@@ -49,22 +63,35 @@ class Metric(Operator):
             else:
                 df = row_index(df, s.time, "_rn")
             df = df.where(F.col("_rn") >= self.offset)
-        df = self.prepare(df, s)
-        parts: list[tuple[str, Column]] = []
-        for p in predictions:
-            for suffix, within in [("", F.lit(True)), *self._cuts(s.time)]:
-                rows = within & self.filter_method(F.col(p), F.col("_y")) if self.filter_method else within
-                value = self.value(F.col(p).cast("double"), F.col("_y").cast("double"), rows)
-                parts.append((p + suffix, F.struct(F.count_if(within).alias("n"), value.cast("double").alias("value"))))
-        one = df.agg(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("v")) for k, v in parts]).alias("all"))
-        rows = one.select(F.explode("all").alias("r")).select(F.lit(self.name).alias("summary"), "r.key", F.col("r.v.value").alias("value"), "r.v.n")
-        return rows.where((F.col("n") > 0) | ~F.col("key").contains(": Cut from ")).drop("n")
+        return df, s
 
     def _cuts(self, time: str):
         for a, b in self.cuts or []:
             yield f": Cut from {a} to {b}", F.col(time).between(F.lit(a), F.lit(b))
 
 
+def _one_pass(df: DataFrame, parts: list[tuple[str, str, Column]]) -> DataFrame:
+    """All values in one aggregation; cuts without rows have none."""
+    made = [F.struct(F.lit(m).alias("summary"), F.lit(k).alias("key"), v.alias("v")) for m, k, v in parts]
+    rows = df.agg(F.array(*made).alias("all")).select(F.explode("all").alias("r"))
+    rows = rows.select("r.summary", "r.key", F.col("r.v.value").alias("value"), "r.v.n")
+    return rows.where((F.col("n") > 0) | ~F.col("key").contains(": Cut from ")).drop("n")
+
+
+def evaluate(metrics: list[Metric], y: Series, **predictions: Series) -> DataFrame:
+    """Several metrics of one offset in one pass over the data; averaged F1 scores, which count by class, have their own."""
+    if len({m.offset for m in metrics}) > 1 or any(isinstance(m, F1Score) and m.average in ("macro", "weighted") for m in metrics):
+        raise WrongParameter("These metrics can't share a pass.", "Call those of other offsets, and averaged F1 scores, by themselves.")
+    df, s = metrics[0]._aligned(y, predictions)
+    parts = []
+    for m in metrics:
+        if isinstance(m, MASE):
+            m._starts = {}
+        df = m.prepare(df, s)
+        parts += m._parts(predictions, s)
+    return _one_pass(df, parts)
+
+
 class MAE(Metric):
     def value(self, p, t, within):
         return strict(F.avg(F.when(within, F.abs(p - t))), p - t, within)
@@ -144,10 +171,14 @@ class F1Score(Metric):
     def transform(self, y: Series, **predictions: Series) -> DataFrame:
         if self.average in ("micro", "binary"):
             return super().transform(y, **predictions)
-        df, s = align({"_y": y} | predictions)
+        if not predictions:
+            raise InputNotAvailable("No predictions are given.", "Pass them by keyword besides y.")
+        df, s = self._aligned(y, predictions)
         out = None
         for p in predictions:
             for suffix, within in [("", F.lit(True)), *self._cuts(s.time)]:
+                if self.filter_method:
+                    within = within & self.filter_method(F.col(p), F.col("_y"))
                 c = class_counts(df.where(within), "_y", p)
                 side = c.select(F.explode(F.array(F.struct(F.col("t").alias("c"), F.lit(1).alias("side"), "n"), F.struct(F.col("p").alias("c"), F.lit(2).alias("side"), "n"), F.struct(F.when(F.col("t") == F.col("p"), F.col("t")).alias("c"), F.lit(3).alias("side"), "n"))).alias("x"))
                 total = lambda k: F.sum(F.when(F.col("x.side") == k, F.col("x.n")).otherwise(0))
@@ -171,8 +202,8 @@ class ConfusionMatrix(Operator):
         out = None
         for p in predictions:
             c = class_counts(df, "_y", p)
-            labels = c.select(F.explode(F.array("t", "p")).alias("label")).distinct()  # a row a class
-            grid = labels.select(F.col("label").alias("t")).crossJoin(F.broadcast(labels.select(F.col("label").alias("p"))))
+            labels = c.select(F.explode(F.array("t", "p")).alias("label")).agg(F.collect_set("label").alias("all"))  # the classes
+            grid = labels.select("all", F.explode("all").alias("t")).select("t", F.explode("all").alias("p"))
             full = grid.join(c, ["t", "p"], "left").select(F.lit(p).alias("prediction"), F.col("t").alias("gt"), F.col("p").alias("pred"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
             out = full if out is None else out.unionByName(full)
         return out

@@ -270,6 +270,7 @@ class Resampler(Operator):
     aggregate Column.
     """
 
+    min_data_in_time = True
     AGGREGATES = ("mean", "sum", "median", "min", "max", "count", "first", "last")
 
     def __init__(self, target_time: str = "1h", method: str = "mean", func=None, name: str = "Resampler") -> None:
@@ -292,10 +293,12 @@ class Resampler(Operator):
         grid = ends.select(*x.keys, F.explode(F.sequence(to_bin(F.col("_lo")), to_bin(F.col("_hi")), width)).alias("_us"))
         with_ends = x.df.join(F.broadcast(ends) if not x.keys else ends, list(x.keys)) if x.keys else x.df.crossJoin(F.broadcast(ends))
         if self.method == "interpolate":
-            own = x.df.select(*x.keys, us.alias("_us"), F.col(x.col).cast("double").alias(x.col))
-            both = own.join(grid.withColumn("_grid", F.lit(True)), [*x.keys, "_us"], "full").withColumn(x.time, stamp(F.col("_us")))
-            filled = LinearInterpolater().transform(Series(both, x.col, x.time, x.keys))
-            return x.on(filled.df.join(grid.select(*x.keys, stamp(F.col("_us")).alias(x.time)), x.index, "left_semi"))
+            own = x.df.select(*x.keys, us.alias("_us"), F.col(x.col).cast("double").alias(x.col), F.lit(False).alias("_grid"))
+            both = own.unionByName(grid.select(*x.keys, "_us", F.lit(None).cast("double").alias(x.col), F.lit(True).alias("_grid")))
+            both = both.groupBy(*x.keys, "_us").agg(F.max(x.col).alias(x.col), F.max("_grid").alias("_grid"))  # times are unique in a series
+            both = both.withColumn(x.time, stamp(F.col("_us")))
+            filled = LinearInterpolater(fill_value=None).columns(Series(both, x.col, x.time, x.keys), "_grid")
+            return x.on(filled.where("_grid").select(*x.index, x.col))
         agg = self.func(F.col(x.col)) if self.method == "reduce" else getattr(F, self.method)(x.col)
         if self.method in ("first", "last"):
             pick = F.min_by if self.method == "first" else F.max_by
@@ -310,40 +313,49 @@ class LinearInterpolater(Operator):
 
     ``linear`` extrapolates both ends from the two nearest valid points (with
     one valid point they stay missing); ``nearest`` takes the nearer one, the
-    earlier on ties; ``zero`` the last one before. ``fill_value`` other than
+    earlier on ties; ``zero`` and ``previous`` the last one before, ``next`` the
+    first one after. ``fill_value`` other than
     ``extrapolate`` leaves the ends missing.
     """
 
     def __init__(self, method: str = "linear", fill_value: str | None = "extrapolate", name: str = "LinearInterpolater") -> None:
-        if method not in ("linear", "slinear", "nearest", "zero"):
-            raise WrongParameter(f"Method {method!r} is unknown.", "Use linear, nearest or zero.")
+        if method not in ("linear", "slinear", "nearest", "zero", "previous", "next"):
+            raise WrongParameter(f"Method {method!r} is unknown.", "Use linear, slinear, nearest, zero, previous or next.")
         self.method, self.fill_value, self.name = method, fill_value, name
 
     def transform(self, x: Series) -> Series:
+        return x.on(self.columns(x))
+
+    def columns(self, x: Series, *others: str):
+        """The filled column, and others as they are; points at the ends are sought only where they are needed."""
         us, v = micros(x.time), F.col(x.col).cast("double")
+        ends = self.fill_value == "extrapolate"
         point = F.when(v.isNotNull(), F.struct(us.alias("t"), v.alias("v")))
         back = x.window.rowsBetween(Window.unboundedPreceding, 0)
-        ahead = x.window.rowsBetween(0, Window.unboundedFollowing)
+        falling = Window.partitionBy(*x.keys).orderBy(F.col(x.time).desc())
+        ahead = falling.rowsBetween(Window.unboundedPreceding, 0)  # frames that end at the last row cost a pass a row
         everything = x.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        down = Window.partitionBy(*x.keys).orderBy(F.col(x.time).desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        down = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         df = x.df.select(
-            *x.index, v.alias("_v"), us.alias("_t"),
-            F.last(point, True).over(back).alias("_p"), F.first(point, True).over(ahead).alias("_n"),
-            *[F.nth_value(point, k, True).over(everything).alias(f"_a{k}") for k in (1, 2)],
-            *[F.nth_value(point, k, True).over(down).alias(f"_z{k}") for k in (1, 2)],
+            *x.index, *others, v.alias("_v"), us.alias("_t"),
+            F.last(point, True).over(back).alias("_p"), F.last(point, True).over(ahead).alias("_n"),
+            *[F.nth_value(point, k, True).over(everything).alias(f"_a{k}") for k in (1, 2) if ends and "linear" in self.method],
+            *[F.nth_value(point, k, True).over(down).alias(f"_z{k}") for k in (1, 2) if ends and "linear" in self.method],
         )
 
         def line(a: str, b: str) -> Column:
             return F.col(f"{a}.v") + (F.col("_t") - F.col(f"{a}.t")) * (F.col(f"{b}.v") - F.col(f"{a}.v")) / (F.col(f"{b}.t") - F.col(f"{a}.t"))
 
-        ends = self.fill_value == "extrapolate"
         if self.method == "nearest":
             inner = F.when(F.col("_t") - F.col("_p.t") <= F.col("_n.t") - F.col("_t"), F.col("_p.v")).otherwise(F.col("_n.v"))
             head, tail = F.col("_n.v"), F.col("_p.v")
-        elif self.method == "zero":
+        elif self.method in ("zero", "previous"):
             inner, head, tail = F.col("_p.v"), F.col("_n.v"), F.col("_p.v")
+        elif self.method == "next":
+            inner, head, tail = F.col("_n.v"), F.col("_n.v"), F.col("_p.v")
         else:
-            inner, head, tail = line("_p", "_n"), line("_a1", "_a2"), line("_z2", "_z1")
+            inner = line("_p", "_n")
+            head, tail = (line("_a1", "_a2"), line("_z2", "_z1")) if ends else (None, None)
         lost = F.lit(None).cast("double")
         value = (
             F.when(F.col("_v").isNotNull(), F.col("_v"))
@@ -351,7 +363,7 @@ class LinearInterpolater(Operator):
             .when(F.col("_p").isNull(), head if ends else lost)
             .otherwise(tail if ends else lost)
         )
-        return x.on(df.select(*x.index, value.alias(x.col)))
+        return df.select(*x.index, value.alias(x.col), *others)
 
 
 def either(first: Series, *others: Series) -> Series:

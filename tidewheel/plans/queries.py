@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..frame import Series, ingest
 from ..functions.holidays import holidays
-from ..operators import features, generation, metrics, models, preprocessing
-from ..streaming.online import windowed
+from ..operators import features, generation, metrics, models, networks, preprocessing
+from ..sources.tables import split_rows
+from ..streaming.online import batch_rmse, windowed
+from .pipeline import Mode, Pipeline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -355,10 +357,7 @@ _LONG = "lg AS (SELECT k, time, v, 'p1' AS key, p1 AS p FROM fc UNION ALL SELECT
 
 def _errors(spark, d, **options) -> DataFrame:
     f = _forecasts(spark, d)
-    made = [cls(**options).transform(f["v"], p1=f["p1"], p2=f["p2"]) for cls, _ in _ERR.values()]
-    all_ = made[0]
-    for m in made[1:]:
-        all_ = all_.unionByName(m)
+    all_ = metrics.evaluate([cls(**options) for cls, _ in _ERR.values()], f["v"], p1=f["p1"], p2=f["p2"])
     return all_.select("summary", "key", F.round("value", 4).alias("value"))
 
 
@@ -506,14 +505,173 @@ def _(spark, d):
     return df.select("k", F.col("time").cast("timestamp_ntz").alias("time"), "n", F.round("mean", 4).alias("mean"))
 
 
-@query("kmeans_distances")
+_CENTRES = [[0.1] * 64, [-0.2] * 64, [((k % 5) - 2) / 10 for k in range(64)]]
+
+
+@query("kmeans_distances", ", c AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c}::DOUBLE[])" for k, c in enumerate(_CENTRES)) + """) t(i, c)),
+e AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings),
+d AS (SELECT vec_id, i, sqrt(list_sum(list_transform(list_zip(x, c[:len(x)]), lambda z: (z[1] - z[2]) ** 2))) AS f FROM e, c)
+SELECT vec_id, array_to_string(list_transform(list(f ORDER BY i), lambda z: round(z, 4)::DECIMAL(38,4)::VARCHAR), ',') AS v FROM d GROUP BY vec_id""")
+def _(spark, d):
+    df = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    s = Series(df, "x", time="vec_id")
+    width = df.select(F.size("x")).first()[0]
+    m = models.KMeansDistances(given=[c[:width] for c in _CENTRES])
+    return out(m.fit(x=s).transform(x=s))
+
+
+@query("kmeans_fitted")
 def _(spark, d):
     df = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     s = Series(df, "x", time="vec_id")
     return models.KMeansDistances(4).fit(x=s).transform(x=s).df
 
 
-@query("autoregression")
+@query("gaussian_mixture")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    return models.Mixture(3).fit(a=f["p1"], b=f["p2"]).transform(a=f["p1"], b=f["p2"]).df
+
+
+#: Least squares of v on two columns x1 and x2, from sums about the means.
+_OLS2 = """m AS (SELECT avg(v) AS mv, avg(x1) AS m1, avg(x2) AS m2 FROM xs WHERE v IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+g AS (SELECT sum((x1 - m1) ** 2) AS a, sum((x1 - m1) * (x2 - m2)) AS b, sum((x2 - m2) ** 2) AS c, sum((x1 - m1) * (v - mv)) AS p, sum((x2 - m2) * (v - mv)) AS q
+FROM xs, m WHERE v IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+w AS (SELECT (c * p - b * q) / (a * c - b * b) AS w1, (a * q - b * p) / (a * c - b * b) AS w2 FROM g)"""
+
+
+@query("autoregression", f", xs AS (SELECT k, time, v, lag(v, 1) OVER {_W} AS x1, lag(v, 2) OVER {_W} AS x2 FROM seg), {_OLS2} SELECT k, time, round(mv + w1 * (x1 - m1) + w2 * (x2 - m2), 2) AS v FROM xs, m, w")
 def _(spark, d):
     s = segments(spark, d)
     return out(models.AutoRegression(2).fit(s).transform(s), 2)
+
+
+@query("autoregression_forecast", f""", xs AS (SELECT time, v, lag(v, 1) OVER (ORDER BY time) AS x1, lag(v, 2) OVER (ORDER BY time) AS x2 FROM daily), {_OLS2},
+z AS (SELECT time AS t, v, lag(v) OVER (ORDER BY time) AS u, lag(time) OVER (ORDER BY time) AS s FROM daily ORDER BY time DESC LIMIT 1),
+f1 AS (SELECT t, s, v, mv + w1 * (v - m1) + w2 * (u - m2) AS y1 FROM z, m, w), f2 AS (SELECT *, mv + w1 * (y1 - m1) + w2 * (v - m2) AS y2 FROM f1, m, w)
+SELECT t + (t - s) AS time, round(y1, 2) AS v FROM f2 UNION ALL SELECT t + 2 * (t - s), round(y2, 2) FROM f2""")
+def _(spark, d):
+    s = daily(spark, d)
+    return out(models.AutoRegression(2).fit(s).forecast(s, 2), 2)
+
+
+@query("linreg_two_targets", f", {_FC}, r AS (SELECT regr_intercept(v, p1) AS i1, regr_slope(v, p1) AS s1, regr_intercept(p2, p1) AS i2, regr_slope(p2, p1) AS s2 FROM fc) SELECT k, time, round(i1 + s1 * p1, 2) AS v, round(i2 + s2 * p1, 2) AS w FROM fc, r")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    got = models.LinearRegression().fit(target_v=f["v"], target_w=f["p2"], p1=f["p1"]).transform(p1=f["p1"])
+    return out(got["target_v"], 2).join(out(got["target_w"], 2, "w"), ["k", "time"])
+
+
+@query("linreg_horizons", f", {_FC}, r AS (SELECT regr_intercept(v, p1) AS i1, regr_slope(v, p1) AS s1, regr_intercept(p2, p1) AS i2, regr_slope(p2, p1) AS s2 FROM fc) SELECT k, time, round(i1 + s1 * p1, 2) AS a, round(i2 + s2 * p1, 2) AS b FROM fc, r")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    both = f["v"].on(f["v"].df.withColumn("y", F.array("v", "p2")), "y")
+    got = models.LinearRegression().fit(target=both, p1=f["p1"]).transform(p1=f["p1"])
+    return got.df.select("k", "time", F.round(F.get("target", F.lit(0)), 2).alias("a"), F.round(F.get("target", F.lit(1)), 2).alias("b"))
+
+
+@query("spark_ml_model", f", {_FC} SELECT k, time, round(i + s * p1, 2) AS v FROM fc, (SELECT regr_intercept(v, p1) AS i, regr_slope(v, p1) AS s FROM fc)")
+def _(spark, d):
+    from pyspark.ml.regression import LinearRegression as Line
+
+    f = _forecasts(spark, d)
+    m = models.SparkModel(Line(solver="normal")).fit(p1=f["p1"], target=f["v"])
+    return out(m.transform(p1=f["p1"]), 2)
+
+
+@query("support_vector_regression")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    return models.SVR().fit(target=f["v"], p1=f["p1"], p2=f["p2"]).transform(p1=f["p1"], p2=f["p2"]).df
+
+
+@query("dense_network")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    m = networks.DlWrapper(networks.DenseNetwork((16,), epochs=5)).fit(target=f["v"], p1=f["p1"], p2=f["p2"])
+    return m.transform(p1=f["p1"], p2=f["p2"]).df
+
+
+@query("split_train", "SELECT time, round(v, 4) AS v FROM daily ORDER BY time LIMIT 1000")
+def _(spark, d):
+    s = daily(spark, d)
+    return out(s.on(split_rows(s.df, 1000)[0]))
+
+
+@query("split_test", "SELECT time, round(v, 4) AS v FROM daily ORDER BY time OFFSET 1000")
+def _(spark, d):
+    s = daily(spark, d)
+    return out(s.on(split_rows(s.df, 1000)[1]))
+
+
+@query("metric_filter", f", {_FC} SELECT 'MAE' AS summary, 'p1' AS key, round(avg(abs(p1 - v)), 4) AS value FROM fc WHERE p1 < v")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    return metrics.MAE(filter_method=lambda p, t: p < t).transform(f["v"], p1=f["p1"]).select("summary", "key", F.round("value", 4).alias("value"))
+
+
+@query("rolling_outer_index", f"""SELECT x.k, x.time, round(coalesce(avg(y.v), 0), 4) AS v FROM (SELECT DISTINCT k, time + INTERVAL 12 HOUR AS time FROM seg) x
+LEFT JOIN seg y ON x.k = y.k AND y.time < x.time AND y.time >= x.time - INTERVAL 7 DAY GROUP BY x.k, x.time""")
+def _(spark, d):
+    s = segments(spark, d)
+    half = s.on(s.df.select("k", (F.col("time") + F.expr("INTERVAL 12 HOURS")).alias("time"), "v"))
+    return out(features.RollingMean(7, "d").transform(s, index=half))
+
+
+@query("drift_rmse_by_month", f", {_FC} SELECT date_trunc('month', time)::TIMESTAMP AS batch, round(sqrt(avg((p1 - v) ** 2)), 4) AS rmse FROM fc GROUP BY 1")
+def _(spark, d):
+    f = _forecasts(spark, d)
+    return batch_rmse(f["v"], f["p1"], F.date_trunc("month", "time").cast("timestamp_ntz")).select("batch", F.round("rmse", 4).alias("rmse"))
+
+
+@query("clean_training_rows", f""", x AS (SELECT k, time, lag(n, 2) OVER {_W} AS h1, lag(n, 1) OVER {_W} AS h2, n AS y1, lead(n, 1) OVER {_W} AS y2 FROM (SELECT k, time, (n::INT % 3)::DOUBLE AS n FROM seg))
+SELECT k, time FROM x WHERE h1 IS NOT NULL AND h2 IS NOT NULL AND y2 IS NOT NULL AND y1 <> 0 AND y2 <> 0""")
+def _(spark, d):
+    s = segments(spark, d)
+    n = s.on(s.df.withColumn("n", (F.col("n").cast("int") % 3).cast("double")), "n")
+    back = lambda k: F.lag("n", k).over(n.window)
+    df = n.df.select("k", "time", F.array(back(2), back(1)).alias("hist_input"), F.array(F.col("n"), F.lead("n", 1).over(n.window)).alias("y"))
+    return preprocessing.clean_training_rows(df).select("k", "time")
+
+
+def _graph(spark, d) -> tuple[Pipeline, DataFrame]:
+    p = Pipeline(keys=("k",))
+    scaler = models.StandardScaler()
+    scaled = scaler(x=p["v"])
+    lags = preprocessing.Select([-1])(x=scaled)
+    forecast = models.LinearRegression(name="forecast")(lags=lags, target=scaled)
+    scaler(x=forecast, method="inverse_transform", mode=Mode.TRANSFORM)
+    return p, segments(spark, d).df
+
+
+@query("pipeline_train_test", f""", a AS (SELECT k, time, v, lag(v) OVER {_W} AS x FROM seg WHERE time < TIMESTAMP '1997-01-01'), r AS (SELECT regr_intercept(v, x) AS i, regr_slope(v, x) AS s FROM a),
+b AS (SELECT k, time, lag(v) OVER {_W} AS x FROM seg WHERE time >= TIMESTAMP '1997-01-01') SELECT k, time, round(i + s * x, 2) AS v FROM b, r WHERE x IS NOT NULL""")
+def _(spark, d):
+    p, df = _graph(spark, d)
+    split = F.lit("1997-01-01").cast("timestamp_ntz")
+    p.train(df.where(F.col("time") < split), summary=False)
+    return out(next(iter(p.test(df.where(F.col("time") >= split), summary=False)[0].values())), 2)
+
+
+@query("pipeline_columns", "SELECT k, time, round(n, 4) AS v FROM seg")
+def _(spark, d):
+    p = Pipeline(keys=("k",))
+    p["n"]
+    return out(p.test(segments(spark, d).df, summary=False)[0]["n"])
+
+
+@query("pipeline_nested_batches", f"SELECT k, time, round(v - lag(v) OVER {_W}, 4) AS v FROM seg QUALIFY lag(v) OVER {_W} IS NOT NULL")
+def _(spark, d):
+    p, sub = Pipeline(keys=("k",)), Pipeline(batch="1000d", name="sub")
+    preprocessing.Differentiate(1)(x=sub["x"])
+    sub(x=p["v"])
+    return out(next(iter(p.test(segments(spark, d).df, summary=False)[0].values())))
+
+
+@query("pipeline_conditions", "SELECT k, time, round(v * 2.0, 4) AS v FROM seg")
+def _(spark, d):
+    p = Pipeline(keys=("k",))
+    many = preprocessing.CustomScaler(2.0, name="many")(x=p["v"], condition=lambda x: x.df.limit(1).count() > 0)
+    none = preprocessing.CustomScaler(bias=1.0, name="none")(x=p["v"], condition=lambda x: x.df.limit(1).count() == 0)
+    preprocessing.CustomScaler(name="either")(x=(many, none))
+    return out(p.test(segments(spark, d).df, summary=False)[0]["either"])

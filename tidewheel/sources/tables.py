@@ -91,7 +91,7 @@ class StatisticCallback(Callback):
         row = self.table(x).first().asDict()
         text = f"# {key}\n" + "\n".join(f"{k} | {v}" for k, v in row.items()) + "\n"
         print(text)
-        with open(self.path(f"{self.prefix}_Statistics.md"), "a") as f:
+        with open(self.path(f"{self.prefix}_Statistics.md"), "w") as f:
             f.write(text)
 
 

@@ -12,7 +12,20 @@ from ..errors import WrongParameter
 from ..frame import Series, align
 
 
-class PeriodicCondition:
+class Condition:
+    """Asked by ``evaluate`` when all steps of a run are done; wired to steps by call."""
+
+    name = "Condition"
+    inputs: dict | None = None
+
+    def __call__(self, **inputs):
+        from ..plans.pipeline import wire_condition
+
+        wire_condition(self, inputs)
+        return self
+
+
+class PeriodicCondition(Condition):
     """True on every ``num_steps``-th call."""
 
     def __init__(self, num_steps: int = 10, name: str = "PeriodicCondition") -> None:
@@ -84,15 +97,21 @@ def _merge(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[in
     return n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n
 
 
-class DriftCondition:
+def batch_rmse(y: Series, y_hat: Series, by=None) -> DataFrame:
+    """RMSE of a batch, or of each of several: ``by`` is a Column that tells them apart."""
+    df, s = align({"y": y, "p": y_hat})
+    d = F.col("p").cast("double") - F.col("y").cast("double")
+    return df.groupBy(*([] if by is None else [by.alias("batch")])).agg(F.sqrt(F.avg(d * d)).alias("rmse"))
+
+
+class DriftCondition(Condition):
     """Feeds the RMSE of each batch to a detector; true where that finds a change, after which it starts anew."""
 
     def __init__(self, detector=None, name: str = "DriftCondition") -> None:
         self.detector, self.name = detector or Adwin(), name
 
     def evaluate(self, y: Series, y_hat: Series) -> bool:
-        df, _ = align({"y": y, "p": y_hat})
-        rmse = df.agg(F.sqrt(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))).first()[0]
+        rmse = batch_rmse(y, y_hat).first()["rmse"]
         return False if rmse is None or math.isnan(rmse) else self.feed(rmse)
 
     def feed(self, rmse: float) -> bool:
@@ -106,34 +125,52 @@ class DriftCondition:
 class OnlineRunner:
     """``foreachBatch`` handler: tests each batch with the history its steps need, then refits where a condition holds.
 
-    History is a table, overwritten by batch, so a batch that runs again gives
-    the same; targets newer than ``lag`` before the batch's end are left out
-    of refits. ``sink(batch_id, results)`` gets each batch's results.
+    History is a table in folders by batch, so a batch that runs again gives
+    the same. ``keep_micros`` is how much of it a test reads, by default what
+    ``pipeline.need()`` asks for (rows by the batch's median step). Refits use
+    ``refit_micros`` of it (all that is kept by default) without what is newer
+    than ``lag`` before the batch's end. Folders that neither needs any more
+    are deleted. ``sink(batch_id, results)`` gets each batch's results.
     """
 
-    def __init__(self, pipeline, history: str, sink: Callable, keep_micros: int, lag_micros: int = 0, conditions: list | None = None, inputs: Callable | None = None) -> None:
+    def __init__(self, pipeline, history: str, sink: Callable, keep_micros: int | None = None, lag_micros: int = 0, conditions: list | None = None, inputs: Callable | None = None, refit_micros: int | None = None) -> None:
         self.pipeline, self.history, self.sink, self.keep = pipeline, history, sink, keep_micros
-        self.lag, self.conditions, self.inputs = lag_micros, conditions or [], inputs
+        self.lag, self.conditions, self.inputs, self.refit_micros = lag_micros, conditions or [], inputs, refit_micros
         self.refits: list[int] = []
 
+    def _folders(self, spark):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.history)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return fs, {}
+        names = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("end=")]
+        return fs, {p: tuple(int(x.split("=")[1]) for x in p.getName().split(",")) for p in names}
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, time = batch.sparkSession, self.pipeline.time_column
         batch = batch.persist()
-        ends = batch.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
+        us = F.unix_micros(F.col(time).cast("timestamp"))
+        ends = batch.agg(F.min(us), F.max(us), F.count_distinct(us)).first()
         if ends[0] is None:
             return
-        us = F.unix_micros(F.col(time).cast("timestamp"))
-        try:
-            past = spark.read.schema(batch.schema).parquet(f"{self.history}/*").where((us < ends[0]) & (us >= ends[0] - self.keep)).select(*batch.columns)
+        keep = self.keep
+        if keep is None:
+            rows, span = self.pipeline.need()
+            keep = span + rows * max(1, (ends[1] - ends[0]) // max(1, ends[2] - 1) if ends[2] > 1 else 86_400_000_000)
+        reach = max(keep, self.refit_micros or 0)
+        fs, folders = self._folders(spark)  # of each, the newest time in it and the batch
+        used = [p for p, (end, b) in folders.items() if end >= ends[0] - reach and b != batch_id]
+        both = batch
+        if used:
+            past = spark.read.schema(batch.schema).parquet(*[str(p) for p in used]).where((us < ends[0]) & (us >= ends[0] - reach))
             both = past.unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            both = batch
-        results = self.pipeline.test(both, reset=False, summary=False)[0]
+        results = self.pipeline.test(both.where(us >= ends[0] - keep), summary=False)[0]
         new = {n: s.on(s.df.where(us >= ends[0])) for n, s in results.items() if isinstance(s, Series)}
         self.sink(batch_id, new)
-        batch.write.mode("overwrite").parquet(f"{self.history}/batch={batch_id}")
+        for p, (end, b) in folders.items():
+            if b == batch_id or end < ends[0] - reach:
+                fs.delete(p, True)
+        batch.write.mode("overwrite").parquet(f"{self.history}/end={ends[1]},batch={batch_id}")
         if any([c.evaluate(**(self.inputs(new, batch) if self.inputs and not isinstance(c, PeriodicCondition) else {})) for c in self.conditions]):
             self.pipeline.train(both.where(us <= ends[1] - self.lag), summary=False)
             self.refits.append(batch_id)
