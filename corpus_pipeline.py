@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is found; lang stays as it came.
 
     Without a training row of known language there is no model; then texts
-    without letters are rejected and all others stay.
+    without letters are rejected and all others stay. Null texts go; null and
+    repeated ids, and columns of any name, stay.
     """
     import pyarrow as pa
 
@@ -36,11 +39,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates: the smallest id, then text; nulls come last.
+
+    Of equal rows of one id and text one stays. Texts without words, null ones
+    too, are classes of their own. All columns stay, whatever their names.
+    """
     found = minhash.classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    kept = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_text"] == found["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    key = f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    kept = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed[key] == found["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +88,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 2048 tokens."""
+    """Pack what is left into sequences of at most 2048 tokens; a null text is an empty one, and other columns are ignored."""
     return packing.pack(docs)
 
 

@@ -3,6 +3,8 @@
 import functools
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewheel.llm import decontam
 
@@ -53,3 +55,23 @@ def test_language_without_a_model_keeps_texts_with_letters(spark):
     rows = [(1, "clean text", None), (2, "12 34 !!", None), (3, None, None), (4, "", None), (None, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, None}
+
+
+def test_stages_take_odd_rows_columns_and_empty_tables(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    same, other, long_ = prose(60), prose(60), prose(3000)
+    rows = [(1, same, "en", "x", 1), (1, same, "en", "x", 1), (None, other, "en", None, None), (None, None, None, None, None), (4, "", "en", "y", 0), (5, long_, None, "z", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, uses long").withColumn("text_key", F.lit("k")).withColumn("kept", F.lit(7))
+    spark.createDataFrame([(1, prose(12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("doc_id < 0"), str(tmp_path))
+        assert none.count() == 0
+        got = stage(spark, docs, str(tmp_path))
+        if name == "pack":
+            assert got.select("doc_id").distinct().count() == 4
+            continue
+        assert got.columns == docs.columns
+        kept = [r["doc_id"] for r in got.collect() if r["text"]]
+        want = {"language": [1, 1, 5, None], "near_duplicates": [1, 5, None], "repeated_substrings": [5, None], "decontaminate": [1, 1, 5, None]}[name]
+        assert sorted(kept, key=str) == sorted(want, key=str), name
