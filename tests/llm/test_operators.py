@@ -4,9 +4,11 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewheel.llm import common, decontam, embeddings, langid, licenses, minhash, packing, quality, substrings, suffixes, token_shards, tokens, warc
@@ -295,6 +297,18 @@ def test_token_ids_equal_the_library(texts):
     assert [x.tolist() for x in f.encode(some)] == [e.ids for e in f.slow.encode_batch(some, add_special_tokens=False)]
 
 
+def test_token_ids_of_clashing_hashes_and_cut_texts(texts):
+    rng = random.Random(3)
+    extra = ["".join(rng.choice("abZé''stdrvmel  \n\t\r190_-.!ßñ\x00\x0b\x1b") for _ in range(rng.randrange(60))) for _ in range(1000)]
+    some = [t or "" for t in texts] + extra
+    want = [e.ids for e in tokens.bpe(*tokens.default_paths()).slow.encode_batch(some, add_special_tokens=False)]
+    for f in (tokens.FastBPE(*tokens.default_paths(), limit=50, block=16), tokens.FastBPE(tokens.default_paths()[0])):
+        assert [x.tolist() for x in f.encode(some)] == want
+    f = tokens.FastBPE(*tokens.default_paths())
+    f.hasher.table[:] = 1  # words of one length have one hash
+    assert [x.tolist() for x in f.encode(some)] == want and [x.tolist() for x in f.encode(some)] == want
+
+
 def test_packing(spark, docs, nothing):
     f = tokens.bpe(*tokens.default_paths())
     got = packing.pack(docs, capacity=64).collect()
@@ -577,3 +591,34 @@ def test_lookup_and_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r["v"]: r["c"] for r in common.components(edges).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 103: 100}
+
+
+def test_token_shards_shuffle_little(spark, tmp_path):
+    """Few of the shards' bytes pass the shuffle, also where a bundle is a single sequence."""
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(5000)]
+    share = 1 / np.arange(10, 5010)
+    rows = [(i, " ".join(rng.choice(vocabulary, 3000, p=share / share.sum()))) for i in range(60)]
+    before = shuffled()
+    out = f"file://{tmp_path}/s"
+    got = token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), out, shard_sequences=4)
+    got = got.select("slot", "n_tokens", "ids_crc32").collect()
+    passed = sum(size for p, size in shuffled().items() if p not in before)
+    f = tokens.bpe(*tokens.default_paths())
+    assert sum(r["n_tokens"] for r in got) == sum(len(x) + 1 for x in f.encode([t for _, t in rows]))
+    assert {r["slot"]: r["ids_crc32"] for r in got} == {k: common.crc_of(ids) for k, (ids, _) in enumerate(token_shards.read(out, 0, len(got)))}
+    whole = sum(p.stat().st_size for p in tmp_path.rglob("*.bin"))
+    print("share", passed / whole)
+    assert passed < 0.6 * whole
+
+
+def test_ids_are_squeezed_exactly():
+    order = np.random.default_rng(0).permutation(1 << 16).astype("<u2")
+    ids = np.concatenate([np.arange(1 << 16), [0, 65535, 7]]).astype("<u2")
+    data = token_shards.squeeze(ids, np.argsort(order).astype("<u2"), zstandard.ZstdCompressor())
+    assert (token_shards.unsqueeze(data, order, zstandard.ZstdDecompressor()) == ids).all()

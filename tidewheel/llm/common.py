@@ -132,12 +132,18 @@ class WordHasher:
         if len(inside) and inside[0]:
             edge = np.concatenate([[0], edge])
         start, end = edge[0::2], edge[1::2]
-        total = np.cumsum(self.table[raw] * self.power[: len(raw)])
-        before = np.where(start > 0, total[start - 1], 0).astype(np.uint64)
-        h = mix64((total[end - 1] - before) * self.unpower[start])
+        h = self.of_spans(raw, start, end)
         bounds = np.cumsum([0] + [len(x) + 1 for x in data])
         return h, np.diff(np.searchsorted(start, bounds))
 
+    def of_spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each start to its end."""
+        if len(raw) > self.limit:
+            self._grow(len(raw))
+        total = np.cumsum(self.table[raw] * self.power[: len(raw)])
+        before = np.where(start > 0, total[start - 1], 0).astype(np.uint64)
+        return mix64((total[end - 1] - before) * self.unpower[start])
+
 
 def chunks_of(data: list, size=len, limit: int = 1 << 20):
     """Ranges (from, to) over data of about ``limit`` units each, one item at least."""

@@ -108,6 +108,23 @@ def sequences(docs: DataFrame, length: int, tokenizer: str, ranks: str | None, e
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SEQUENCE)
 
 
+def frequent_first(staged: DataFrame) -> np.ndarray:
+    """All 16-bit ids, those most frequent in the first 256 sequences (2048 ids of each) first. It only makes bundles smaller."""
+    rows = staged.select(F.substring("ids", 1, 4096).alias("ids")).limit(256).collect()
+    ids = np.frombuffer(b"".join(r["ids"] for r in rows), "<u2")
+    return np.argsort(-np.bincount(ids, minlength=1 << 16), kind="stable").astype("<u2")
+
+
+def squeeze(ids: np.ndarray, rank: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
+    """Compress the ids' ranks, high bytes before low ones: most high bytes are alike."""
+    return compressor.compress(rank[ids].view(np.uint8).reshape(-1, 2)[:, ::-1].T.tobytes())
+
+
+def unsqueeze(data: bytes, order: np.ndarray, decompressor: zstandard.ZstdDecompressor) -> np.ndarray:
+    high, low = np.frombuffer(decompressor.decompress(data), np.uint8).reshape(2, -1).astype("<u2")
+    return order[high << 8 | low]
+
+
 def write_shards(
     docs: DataFrame,
     out: str | None = None,
@@ -149,12 +166,14 @@ def write_shards(
     if per_part.count() <= 1_000_000:  # a row a task, 16 bytes each; beyond that the join shuffles
         per_part = F.broadcast(per_part)
     n = staged.count()
+    order = frequent_first(staged)
+    rank = np.argsort(order).astype("<u2")
     _open(out)[0].create_dir(_open(out)[1], recursive=True)
     _commit(f"{out}/manifest.json", json.dumps({"sequences": n, "length": length, "shard_sequences": shard_sequences, "dtype": "<u2", "pad_id": end_id, "key": key}).encode())
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Join the sequences of a batch that go to one shard, and compress them together."""
-        squeeze = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             d = batch.to_pydict()
             slots = feistel(np.array(d["index"], np.int64), n, key)
@@ -164,7 +183,7 @@ def write_shards(
             meta, data = [], []
             for ks in groups.values():
                 meta.append(json.dumps([[int(slots[k]), d["n_tokens"][k], d["doc_ids"][k], d["doc_starts"][k], d["places"][k]] for k in ks]))
-                data.append(squeeze.compress(b"".join(d["ids"][k] for k in ks)))
+                data.append(squeeze(np.frombuffer(b"".join(d["ids"][k] for k in ks), "<u2"), rank, compressor))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(groups), pa.int64()), pa.array(meta, pa.string()), pa.array(data, pa.binary())], ["shard", "meta", "data"]
             )
@@ -176,9 +195,9 @@ def write_shards(
         rows = min(shard_sequences, n - shard * shard_sequences)
         records = np.full((rows, length), end_id, "<u2")
         index: list = [None] * rows
-        unpack = zstandard.ZstdDecompressor()
+        decompressor = zstandard.ZstdDecompressor()
         for meta, data in zip(pdf["meta"], pdf["data"]):
-            ids, at = np.frombuffer(unpack.decompress(data), "<u2"), 0
+            ids, at = unsqueeze(data, order, decompressor), 0
             for slot, size, *members in json.loads(meta):
                 r = slot - shard * shard_sequences
                 records[r, :size] = ids[at : at + size]
